@@ -5,16 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.llm import langid, quality
+from roadflow.llm import langid, media, pii, quality, url_rules
 from roadflow.llm.common import crc_of_id, table
 
 
+def op1_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(4)) == 2, F.lit(False)))
     langs, matrix = langid.train(docs.filter("NOT held_out AND doc_id IS NOT NULL"))
     return langid.predict(docs, langs, matrix, keep=["doc_id", "held_out"])
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("plain", 256).alias("base_sha256"), "spans")
+
+
+#: The fixed rules of the query: verdict, host, path prefix.
+URL_RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(verdict, host, path)")
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,7 +41,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.withColumn("held_out", held), w, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op4_personal_data, op5_url_filter, op7_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": f"""
+WITH rules(verdict, rhost, rpath) AS (VALUES {", ".join(map(str, URL_RULES))}),
+rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, row_number() OVER () AS row_no, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+met AS (SELECT row_no, max_by(rhost || rpath, 1000 * (length(rhost) + length(rpath)) + length(rhost)) AS rule, max_by(verdict, 1000 * (length(rhost) + length(rpath)) + length(rhost)) AS verdict
+        FROM parts, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row_no)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN met USING (row_no)
+""",
+}
