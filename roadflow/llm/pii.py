@@ -98,10 +98,13 @@ DIGIT_WORDS = {
 
 _ODD_CHARS = re.compile("[\u00ad\u0370-\uffff\U00010000-\U0010ffff]")
 _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
-#: At least three digit words in a row: fewer are ordinary prose.
-_DIGIT_RUN = rf"(?<!\w)(?:{_DIGIT_WORD})(?:(?:[ \t]*[-,./][ \t]*|[ \t]+|[ \t]+(?:dot|plus)[ \t]+)(?:{_DIGIT_WORD}|[0-9]))*(?:(?:[ \t]*[-,./][ \t]*|[ \t]+)(?:{_DIGIT_WORD}|[0-9])){{2}}(?!\w)"
+#: At least three digits in a row, the first as a word: fewer are ordinary prose.
+_DIGIT_RUN = rf"(?<!\w)(?:{_DIGIT_WORD})(?:(?:[ \t]*[-,./][ \t]*|[ \t]+(?:dot|plus)[ \t]+|[ \t]+)(?:{_DIGIT_WORD}|[0-9])(?!\w)){{2,}}"
+# Ends of domains after which a bare ``at`` ... ``dot`` ... is read as an address.
+_ENDINGS = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu"
 _BRACKETED = r"[ \t]*[\[({<][ \t]*(?P<sign>at|@|dot|\.)[ \t]*[\])}>][ \t]*"
-_WORDED = r"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+dot[ \t]+|[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>]))"
+_DOT = r"(?:[ \t]+dot[ \t]+|[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*)"
+_WORDED = rf"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?:{_ENDINGS})(?!\w))"
 _DOT_WORD = r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])"
 _DISGUISE = re.compile(rf"(?P<br>{_BRACKETED})|(?P<at>{_WORDED})|(?P<dot>{_DOT_WORD})|(?P<digits>{_DIGIT_RUN})|(?P<plus>(?<!\w)plus[ \t]+(?=(?:{_DIGIT_WORD}|[0-9])))", re.I)
 _DIGIT_PART = re.compile(rf"(?P<word>{_DIGIT_WORD})|(?P<digit>[0-9])|(?P<dot>[ \t]+dot[ \t]+)|(?P<plus>[ \t]+plus[ \t]+)|(?P<gap>[ \t]*[-,./][ \t]*|[ \t]+)", re.I)

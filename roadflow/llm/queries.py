@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.llm import langid, media, pii, quality, url_rules
+from roadflow.llm import langid, media, packing, pii, quality, url_rules
 from roadflow.llm.common import crc_of_id, table
 
 
@@ -19,6 +19,17 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langs, matrix, keep=["doc_id", "held_out"])
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer_path()))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("plain", 256).alias("base_sha256"), "spans")
@@ -41,7 +52,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.withColumn("held_out", held), w, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op4_personal_data, op5_url_filter, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op3_best_fit_packing, op4_personal_data, op5_url_filter, op7_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
