@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.llm import langid, media, packing, pii, quality, url_rules
+from roadflow.llm import langid, media, packing, pii, quality, simhash, url_rules
 from roadflow.llm.common import crc_of_id, table
 
 
@@ -44,6 +44,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=3)
+    return near.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(F.pmod(crc_of_id(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,7 +57,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.withColumn("held_out", held), w, keep=["doc_id", "held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op3_best_fit_packing, op4_personal_data, op5_url_filter, op7_quality)}
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op3_best_fit_packing, op4_personal_data, op5_url_filter, op6_simhash, op7_quality)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
