@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.llm import langid, media, packing, pii, quality, simhash, substring_dedup, url_rules
+from roadflow.llm import decontaminate, langid, media, packing, pii, quality, simhash, substring_dedup, url_rules
 from roadflow.llm.common import crc_of_id, table
 
 
@@ -57,11 +57,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predict(docs.withColumn("held_out", held), w, keep=["doc_id", "held_out"])
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op3_best_fit_packing, op4_personal_data, op5_url_filter, op6_simhash, op7_quality, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_webp_media, op2_language_id, op3_best_fit_packing, op4_personal_data, op5_url_filter, op6_simhash, op7_quality, op9_decontamination, op10_substring_dedup)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL: dict[str, str] = {
