@@ -126,7 +126,7 @@ def scores(data: np.ndarray, at: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(mean * 10.0 + w[-1] * 0.1, -30, 30)))
 
 
-def predict(docs: DataFrame, w: np.ndarray, *, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+def predict(docs: DataFrame, w: np.ndarray, *, keep: list[str], threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns of docs with score and predicted."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -135,7 +135,7 @@ def predict(docs: DataFrame, w: np.ndarray, *, keep: list[str], threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
             got = scores(*bytes_of(block.column(block.num_columns - 1)), model.value)
-            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32), pa.int32())], [*keep, *names])
 
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
+    schema = docs.select(*keep).schema.add(names[0], "double").add(names[1], "integer")
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)

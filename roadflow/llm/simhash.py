@@ -102,14 +102,15 @@ def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
 
 
 def fingerprint_texts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp): the fingerprint of each row's text as a long."""
+    """(id, th, fp): the fingerprint of each row's text as a long, beside the text's xxhash64."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(fingerprints(strings_of(block.column(1)), shingle).view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(fingerprints(strings_of(block.column(2)), shingle).view(np.int64))], ["id", "th", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col("text").alias("__text")).mapInArrow(run, docs.select(F.col(id_col).alias("id")).schema.add("fp", "long"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
+    return docs.mapInArrow(run, docs.select("id", "th").schema.add("fp", "long"))
 
 
 # ------------------------------------------------------------------ links
@@ -256,15 +257,29 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(fps: DataFrame) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest id of its component. fps: a stored table of (id, fp)."""
+    """(fp, root, component_id): for each distinct fingerprint its component and the smallest id in it. fps: a stored table with id and fp."""
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
     roots = components(links(distinct))
     of = written(distinct.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "id", F.coalesce("v", "fp").alias("root")), "roots")
     smallest = written(of.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
-    return written(of.join(smallest, "root").select("fp", "component_id"), "classes")
+    return written(of.join(smallest, "root").select("fp", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
     """id, fp (long) and component_id of each row."""
     fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col), "fingerprints")
     return fps.join(classes(fps), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (NULL last)."""
+    fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col), "fingerprints")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    stay = written(fps.join(classes(fps), "fp").groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.none").alias("__none"), F.coalesce("k.id", F.lit(0)).alias("__id"), F.col("k.th").alias("__th")), "stay")
+    own = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(id_col, F.lit(0)), "__th": F.xxhash64("text")}
+    kept = docs.withColumns(own).join(stay, list(own), "left_semi")
+    again = fps.groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1")
+    if not again.isEmpty():  # rows of equal id and text: one of them
+        every = F.struct(*docs.columns)
+        return kept.groupBy(*own).agg(F.first(every).alias("__row")).select("__row.*")
+    return kept.select(*docs.columns)
