@@ -52,7 +52,7 @@ class Pieces:
         off = np.hypot(x[fix] - x0 - t * dx, y[fix] - y0 - t * dy)
         ok = off <= self.reach
         fix, piece, off, along = fix[ok], piece[ok], off[ok], (self.arc[piece] + t * np.sqrt(size2))[ok]
-        order = np.lexsort((self.edge[piece], np.round(off, 9), fix))
+        order = np.lexsort((self.edge[piece], np.round(off, 6), fix))
         return fix[order], piece[order], off[order], along[order]
 
     def candidates(self, x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, ...]:

@@ -62,7 +62,7 @@ def nearest_match_join(network: Network, points: DataFrame, *, max_dist: float =
     size2 = dx * dx + dy * dy
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(size2 == 0, 1e-12).otherwise(size2)))
     off = F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy)
-    best = met.withColumn("off", off).filter(F.col("off") <= max_dist).groupBy("point_id").agg(F.min(F.struct(F.round("off", 9).alias("r"), "edge_id", "off")).alias("best"))
+    best = met.withColumn("off", off).filter(F.col("off") <= max_dist).groupBy("point_id").agg(F.min(F.struct(F.round("off", 6).alias("r"), "edge_id", "off")).alias("best"))
     out = fixes.join(best, "point_id", "left")
     return out.select("point_id", F.coalesce("best.edge_id", F.lit(-1)).cast("long").alias("edge_id"), F.col("best.off").alias("snap_dist_m"), *carried)
 
