@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadflow.session import ship_package
+
 #: Bytes of text that a kernel holds at once; a longer single text forms a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,35 @@ def strings_of(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at, at[1:])]
 
 
+#: Bits of the filter of wanted rows: a fixed size; when it is full, more rows go through a join than need be.
+FILTER_BITS = 22
+
+
+def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs that are surely not in ``wanted``, and those that may be. wanted: a stored table of id and th (xxhash64 of text).
+
+    A filter of fixed size with a bit for each wanted row keeps most texts out of the join that settles the others.
+    """
+    ship_package(docs.sparkSession)
+    bit = lambda i, t: F.xxhash64(i, t).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    found = wanted.select(bit(F.col("id"), F.col("th")).cast("int").alias("b")).distinct().toArrow().column("b")  # at most 2**FILTER_BITS
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[found.to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    marked = docs.withColumn("__bit", bit(F.col(id_col), F.xxhash64("text")))
+
+    def side(wanted_bit: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b = np.asarray(batch.column(batch.num_columns - 1), np.int64)
+                mine = (shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == wanted_bit
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(mine)) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+        return marked.mapInArrow(run, docs.schema)
+
+    return side(0), side(1)
+
+
 # ------------------------------------------------------------------ hashed words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -92,16 +123,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, at: np.ndarray, in_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of its text. in_word: 256 booleans, by byte."""
-    inside = np.zeros(len(data) + len(at) + 1, bool)  # a gap before each text parts the words of neighbours
-    if len(data):
-        gap = np.repeat(np.arange(1, len(at)), np.diff(at))
-        place = np.arange(len(data)) + gap
-        inside[place] = in_word[data]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    first, last = edge[0::2], edge[1::2]
-    shifted = at[:-1] + np.arange(1, len(at))
-    doc = np.searchsorted(shifted, first, "right") - 1
-    return first - doc - 1, last - doc - 1, doc
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    inside = in_word[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = inside[:-1], inside[1:]
+    starts = at[:-1][np.diff(at) > 0]  # words of neighbouring texts are apart
+    before[starts] = False
+    after[starts[1:] - 1] = False
+    first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return first, last, np.searchsorted(at, first, "right") - 1
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from roadflow.llm.common import blocks, strings_of, window_hashes
+from roadflow.llm.common import blocks, parted, strings_of, window_hashes
 from roadflow.session import ship_package, written
 
 RUN = 3
@@ -97,8 +97,11 @@ def cut_text(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN, counts: bool = False) -> DataFrame:
     """docs with repeated runs deleted from text; with ``counts`` also n_lines and n_removed."""
-    runs = repeated_runs(docs, id_col=id_col, run=run).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
-    joined = docs.join(runs, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__id", "__th")
+    runs = repeated_runs(docs, id_col=id_col, run=run)
+    clean, maybe = parted(docs, id_col, runs)
+    runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
+    joined = maybe.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__id", "__th")  # alike at every size
+    joined = joined.unionByName(clean.withColumn("__starts", F.lit(None).cast("array<int>")))
     names = docs.columns
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in ("n_lines", "n_removed") if counts)])
 
