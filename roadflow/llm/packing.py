@@ -13,7 +13,6 @@ Repeated rows (and NULL ids) are packed as documents of their own. An empty tabl
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks
+from roadflow.llm.common import blocks, bytes_of, span_hashes
 from roadflow.session import ship_package, written
 
 CAPACITY = 4096
@@ -32,69 +31,119 @@ SALTS = 64
 
 # ------------------------------------------------------------------ tokens
 
-#: Words and chunks whose ids a worker keeps; beyond that it starts anew.
-MOST_KEPT = 250_000
-_PLAIN = re.compile(r"[\x21-\x3b\x3d-\x7eà-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-z0-9à-öø-ÿ]+")
+#: Distinct words whose ids a worker keeps (about 30 bytes each); beyond that it starts anew.
+MOST_KEPT = 1_500_000
 
+_KIND = np.full(256, 4, np.uint8)  # 0 blank, 1 letter, 2 digit, 3 other sign, 4 left to the tokenizer
+_KIND[33:127] = 3
+_KIND[[*b" \t\n\r\x0b\x0c"]] = 0
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[48:58] = 2
+_KIND[0xC3] = 1
+_KIND[0x80:0xC0] = 1
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
-class ChunkTokenizer:
-    """Ids of whole texts by way of their blank-separated chunks, each looked up or encoded once.
 
-    The vocabulary drops white space before it forms words, so a text's ids are those of its chunks in a row. Chunks of ASCII and
-    Latin-1 letters are further parted as the tokenizer's own pattern parts them; any other chunk is encoded as it is.
+class WordTokenizer:
+    """Ids of whole texts by way of their words, each of which is encoded once.
+
+    The vocabulary drops white space, lower-cases, and forms words of letters, single digits, runs of other signs and a few endings after an
+    apostrophe. Texts of ASCII and Latin-1 letters are parted here, a block at a time; words are told apart by a 64-bit hash, and their
+    ids are looked up in sorted arrays. Any other text, and one with a special token's opening sign, goes to the tokenizer as it is.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_words(self, words: set[str]) -> None:
-        new = sorted(words - self.words.keys())
-        if not new:
-            return
-        if len(self.words) + len(new) > MOST_KEPT:
-            self.words = {}
-            new = sorted(words)
-        e = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-        ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
-        at = (4 * np.searchsorted(of, np.arange(len(new) + 1))).tolist()
-        if len(of) and of[-1] == len(new) - 1:
-            self.words.update(zip(new, (ids[a:b] for a, b in zip(at, at[1:]))))
-        else:
-            self.words.update((w, self._encode(w)) for w in new)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts) - self.chunks.keys()
-        if len(self.chunks) + len(new) > MOST_KEPT:
-            self.chunks = {"": b""}
-            new = set().union(*parts) - {""}
-        plain, other = {}, []
-        for c in new:
-            low = c.lower()
-            if _PLAIN.fullmatch(low) and len(low) == len(c):
-                plain[c] = _PARTS.findall(low)
-            else:
-                other.append(c)
-        self._learn_words(set().union(*plain.values()) if plain else set())
-        get = self.words.__getitem__
-        for c, ws in plain.items():
-            self.chunks[c] = b"".join(map(get, ws))
-        for c in other:
-            self.chunks[c] = self._encode(c)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-_tokenizers: dict[int, ChunkTokenizer] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = [np.zeros(0, "<u4")]
+        self.total = 0
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, key: np.ndarray, words: list[str]) -> None:
+        if len(self.key) + len(key) > MOST_KEPT:
+            self._clear()
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids)
+        size = np.bincount(of, minlength=len(words)) if len(of) and of[-1] == len(words) - 1 else None
+        if size is None:
+            each = [self._encode(w) for w in words]
+            ids, size = np.concatenate(each), np.array([len(x) for x in each])
+        at = self.total + np.cumsum(size) - size
+        self.ids.append(ids)
+        self.total += len(ids)
+        key = np.concatenate([self.key, key])
+        order = np.argsort(key)
+        self.key, self.at, self.size = key[order], np.concatenate([self.at, at])[order], np.concatenate([self.size, size])[order]
+
+    def _places(self, key: np.ndarray, word_of) -> np.ndarray:
+        """Places of sorted distinct keys; unknown ones are learned first. word_of: the words at places of ``key``."""
+        for _ in range(2):
+            i = np.searchsorted(self.key, key)
+            new = np.flatnonzero(self.key[np.minimum(i, len(self.key) - 1)] != key) if len(self.key) else np.arange(len(key))
+            if not len(new):
+                return i
+            if len(self.key) + len(new) > MOST_KEPT:  # all of this block's words, once the rest is dropped
+                self._clear()
+                new = np.arange(len(key))
+            self._learn(key[new], word_of(new))
+        return np.searchsorted(self.key, key)
+
+    def __call__(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text. data, at: UTF-8 bytes of all texts and where each begins (one more at the end)."""
+        n = len(at) - 1
+        kind = _KIND[data]
+        second = np.zeros(len(data), bool)
+        second[1:] = data[:-1] == 0xC3
+        odd = (kind == 4) | ((data >= 0x80) & (data < 0xC0) & ~second) | (second & ((data == 0x97) | (data == 0xB7)))
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # "<|"
+        strange = np.concatenate([[0], np.cumsum(odd)])
+        strange = strange[at[1:]] > strange[at[:-1]]
+        low = _LOWER[data]
+        low[second & (data >= 0x80) & (data <= 0x9E)] += 32
+        new = np.ones(len(data) + 1, bool)
+        new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        head = np.zeros(len(data) + 1, bool)
+        head[at] = True
+        new |= head
+        for i in np.flatnonzero((low[:-1] == 39) & new[: len(low) - 1]).tolist() if len(low) > 1 else []:
+            ending = low[i + 1 : i + 3].tobytes()
+            m = 2 if ending in (b"re", b"ve", b"ll") and not head[i + 2] else 1 if ending[:1] in (b"s", b"t", b"m", b"d") else 0
+            if m and not head[i + 1]:
+                new[i + 1], new[i + 1 + m] = False, True
+        edge = np.flatnonzero(new)
+        first, last = edge[:-1], edge[1:]
+        word = kind[first] != 0
+        first, last = first[word], last[word]
+        of = np.searchsorted(at, first, "right") - 1
+        if strange.any():
+            keep = ~strange[of]
+            first, last, of = first[keep], last[keep], of[keep]
+        h = span_hashes(low, first, last)
+        key, some, which = np.unique(h, return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        word_of = lambda k: [raw[a:b].decode() for a, b in zip(first[some[k]].tolist(), last[some[k]].tolist())]
+        place = self._places(key, word_of)[which]
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        size = self.size[place]
+        ends = np.cumsum(size)
+        ids = self.ids[0][np.repeat(self.at[place] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edges = np.concatenate([[0], ends])[np.searchsorted(of, np.arange(n + 1))] * 4
+        out = [ids[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist())]
+        for i in np.flatnonzero(strange).tolist():
+            out[i] = self._encode(data[at[i] : at[i + 1]].tobytes().decode()).tobytes()
+        return out
+
+
+_tokenizers: dict[int, WordTokenizer] = {}
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
@@ -109,10 +158,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", capa
         key = zlib.crc32(vocabulary.value[-4096:].encode()) + len(vocabulary.value)
         if key not in _tokenizers:
             _tokenizers.clear()
-            _tokenizers[key] = ChunkTokenizer(vocabulary.value)
+            _tokenizers[key] = WordTokenizer(vocabulary.value)
         for block in blocks(batches, "__text"):
             owner, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(_tokenizers[key]([t or "" for t in block.column(1).to_pylist()])):
+            for row, ids in enumerate(_tokenizers[key](*bytes_of(block.column(1)))):
                 ids += END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
