@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, strings_of
+from roadflow.llm.common import blocks, parted, strings_of
 from roadflow.llm.components import components
 from roadflow.session import ship_package, written
 
@@ -238,7 +238,9 @@ def links(distinct: DataFrame) -> DataFrame:
     for level in range(1, MOST_LEVELS + 1):
         step = F.create_map(*(F.lit(x) if i % 2 == 0 else F.array(*map(F.lit, x)) for m in masks for i, x in enumerate((_signed(m), [_signed(s) for s in sub_masks(m)]))))
         rows = rows.select("fp", F.explode(step[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [s for m in masks for s in sub_masks(m)]
+        masks = sorted({s for m in masks for s in sub_masks(m)})
+        if level > 1:  # blocks chosen in another order may give the same mask
+            rows = rows.distinct()
         if level == MOST_LEVELS:
             parts.append(rows)
             break
@@ -275,11 +277,17 @@ def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFr
     """docs with one row of each component: the one with the smallest id (NULL last)."""
     fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col), "fingerprints")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    stay = written(fps.join(classes(fps), "fp").groupBy("root").agg(F.min(key).alias("k")).select(F.col("k.none").alias("__none"), F.coalesce("k.id", F.lit(0)).alias("__id"), F.col("k.th").alias("__th")), "stay")
+    of = written(fps.join(classes(fps), "fp").select("id", "th", "root"), "members")
+    first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
+    go = written(of.join(first, "root").filter(~key.eqNullSafe(F.col("k"))).select("id", "th").distinct(), "go")
+    stay, maybe = parted(docs, id_col, go)
+    go = go.select(F.col("id").alias("__id"), F.col("th").alias("__th")).hint("merge")
+    kept = stay.unionByName(maybe.join(go, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti"))
+    again = written(fps.groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1").select("id", "th"), "again")
+    if again.isEmpty():
+        return kept
+    # rows of equal id and text: one of them
+    once, many = parted(kept, id_col, again)
     own = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(id_col, F.lit(0)), "__th": F.xxhash64("text")}
-    kept = docs.withColumns(own).join(stay, list(own), "left_semi")
-    again = fps.groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1")
-    if not again.isEmpty():  # rows of equal id and text: one of them
-        every = F.struct(*docs.columns)
-        return kept.groupBy(*own).agg(F.first(every).alias("__row")).select("__row.*")
-    return kept.select(*docs.columns)
+    one = many.withColumns(own).groupBy(*own).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return once.unionByName(one)
