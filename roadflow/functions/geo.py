@@ -40,6 +40,26 @@ def utm_forward(lon: Column, lat: Column, zone: int, north: bool) -> tuple[Colum
     return F.lit(k) * y + g.FALSE_EASTING, F.lit(k) * x + (0.0 if north else g.FALSE_NORTHING)
 
 
+def utm_of_points(points: Column, zone: int, north: bool) -> Column:
+    """An array of (lon, lat) as an array of (x, y). In steps, since what a lambda repeats is worked out again each time."""
+    k = g.K0 * g.RECTIFYING
+
+    def sphere(p: Column) -> Column:
+        sin_phi = F.sin(F.radians(p["lat"]))
+        return F.struct((F.radians(p["lon"]) - g.central_meridian(zone)).alias("lam"), F.sinh(F.atanh(sin_phi) - g.E * F.atanh(g.E * sin_phi)).alias("t"))
+
+    def plane(p: Column) -> Column:
+        return F.struct(F.atan2(p["t"], F.cos(p["lam"])).alias("a"), F.atanh(F.sin(p["lam"]) / F.hypot(F.lit(1.0), p["t"])).alias("b"))
+
+    def series(p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        x = b + _total([F.lit(c) * F.cos(2 * j * a) * F.sinh(2 * j * b) for j, c in enumerate(g.FORWARD, 1)])
+        y = a + _total([F.lit(c) * F.sin(2 * j * a) * F.cosh(2 * j * b) for j, c in enumerate(g.FORWARD, 1)])
+        return F.struct((F.lit(k) * x + g.FALSE_EASTING).alias("x"), (F.lit(k) * y + (0.0 if north else g.FALSE_NORTHING)).alias("y"))
+
+    return F.transform(F.transform(F.transform(points, sphere), plane), series)
+
+
 def utm_inverse(x: Column, y: Column, zone: int, north: bool) -> tuple[Column, Column]:
     k = g.K0 * g.RECTIFYING
     a0, b0 = (y - (0.0 if north else g.FALSE_NORTHING)) / k, (x - g.FALSE_EASTING) / k

@@ -70,14 +70,10 @@ class Network:
             metric_epsg = geo.utm_epsg_for(first["lon"], first["lat"])
         zone, north = geo.utm_zone_of(metric_epsg)
 
-        def xy(p: Column) -> Column:
-            x, y = geo.utm_forward(p["lon"], p["lat"], zone, north)
-            return F.struct(x.alias("x"), y.alias("y"))
-
         ends = {k: F.struct(_rounded(F.col("coords")[i]["lon"]).alias("lon"), _rounded(F.col("coords")[i]["lat"]).alias("lat")) for k, i in (("a", F.lit(0)), ("b", F.size("coords") - 1))}
         r = records.filter(F.size("coords") > 1).withColumns(ends).filter("a <> b")
         way = oneway(F.try_element_at("props", F.lit(oneway_attr))) if directed else F.lit(0)
-        r = r.withColumn("way", way).withColumn("n_edges", F.when(F.col("way") == 0, 2).otherwise(1)).withColumn("xy", F.transform("coords", xy))
+        r = r.withColumn("way", way).withColumn("n_edges", F.when(F.col("way") == 0, 2).otherwise(1)).withColumn("xy", geo.utm_of_points(F.col("coords"), zone, north))
         own = F.try_element_at("props", F.lit(length_attr)).try_cast("double") if length_attr else F.lit(None).cast("double")
         r = _numbered(r.withColumn("length_m", F.coalesce(own, _line_length(F.col("xy")))))
         limit = F.coalesce(F.try_element_at("props", F.lit("maxspeed_mps")).try_cast("double"), parse_maxspeed(F.try_element_at("props", F.lit("maxspeed"))))
@@ -99,7 +95,8 @@ class Network:
         for k, c in (("u", "from"), ("v", "to")):
             e = e.join(nodes.select(F.col("at").alias(c), F.col("node_id").alias(k)), c)
         e = e.select("edge_id", "u", "v", "length_m", "xy", "lonlat", "reverse_id", F.least("edge_id", F.coalesce("reverse_id", "edge_id")).alias("road_id"), "maxspeed_mps", "props")
-        return cls(e, nodes.select("node_id", "at.lon", "at.lat"), zone, north)
+        # kept for all that is asked of a network; a lost part is worked out again
+        return cls(e.persist(), nodes.select("node_id", "at.lon", "at.lat").persist(), zone, north)
 
     @classmethod
     def from_geojson(cls, spark: SparkSession, path: str, **options) -> Network:
