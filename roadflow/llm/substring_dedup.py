@@ -3,7 +3,7 @@
 The corpus is its own reference, so automata of all its shards would have to meet all its documents; their number grows with the
 input, and the work with its square (see README). This operator therefore finds the same maximal repeated spans with fingerprints:
 
-1. A window's anchor is its smallest hashed group of ``GRAM`` words; equal windows have equal anchors. About one word in nine is
+1. A window's anchor is its smallest hashed group of ``GRAM`` words; equal windows have equal anchors. About one word in six is
    an anchor. An anchor stands for a span: all windows of its document that it is the anchor of.
 2. Anchors meet by hash, packed into one binary value for each bucket of hashes and block of text. If an anchor has one and the
    same span everywhere, all but the earliest are removed whole. Within a block this is decided before anything is sent.
@@ -29,18 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, mix, powers, span_hashes, window_hashes, word_spans
+from roadflow.llm.common import blocks, bytes_of, mix, parted, powers, span_hashes, window_hashes, word_spans
 from roadflow.session import ship_package, written
 
 WINDOW = 20
-GRAM = 4
+GRAM = 8
 #: Anchors that a bucket is meant to hold; the number of buckets follows the input's size.
 BUCKET_ROWS = 200_000
-#: Bits of the filter of documents with removed words: a fixed size; when it is full, more texts are sent than need be.
-FILTER_BITS = 22
-#: Bytes of text in which equal anchors are settled before they are sent.
-BLOCK = 8 << 20
-
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[32, 9, 10, 11, 12, 13]] = False
 _GRAM_BASE, _W1, _W2, _SPAN = 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x8EBC6AF09C88C6E3
@@ -117,7 +112,7 @@ def _ids(ids: np.ndarray) -> pa.Array:
 
 def _scan(buckets: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", BLOCK):
+        for block in blocks(batches):
             b = _Block(block, 2)
             raw, begin = b.data.tobytes(), b.begin.tolist()
             spans = list(zip(b.first.tolist(), b.last.tolist()))
@@ -169,6 +164,7 @@ def _meet(found: pa.Table) -> pa.Table:
     e = np.ascontiguousarray(np.concatenate(raw)).reshape(-1).view(_ENTRY) if raw else np.zeros(0, _ENTRY)
     e, later, several = settle(e)
     told = (later | several) & (e["many"] == 0)
+    several &= ~later  # an equal span stands earlier, so its windows do
     e = e[told]
     return pa.table([_ids(e["id"]), pa.array(e["th"]), pa.array(e["s"]), pa.array(e["m"].astype(np.int32)), pa.array(several[told])], ["id", "th", "s", "m", "several"])
 
@@ -177,30 +173,11 @@ def _by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("s", "m"))).alias("spans"))
 
 
-def _bit(id_: F.Column, th: F.Column):
-    return F.xxhash64(id_, th).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-
-
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts of the documents in ``wanted`` (a stored table by id and th) with its columns. docs: id, th, text.
-
-    A bit for each wanted document, in a filter of fixed size, keeps most other texts from being sent at all.
-    """
-    spark = docs.sparkSession
-    set_bits = wanted.select(_bit(F.col("id"), F.col("th")).cast("int").alias("b")).distinct().toArrow().column("b")  # at most 2**FILTER_BITS
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[set_bits.to_numpy()] = True
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = np.asarray(batch.column(3), np.int64)
-            keep = (shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
-            yield batch.select(["id", "th", "text"]).filter(pa.array(keep.astype(bool)))
-
-    some = docs.withColumn("bit", _bit(F.col("id"), F.col("th"))).mapInArrow(run, "id long, th long, text string")
-    w = wanted.withColumnsRenamed({"id": "wid", "th": "wth"})
-    return some.join(w, F.col("id").eqNullSafe(F.col("wid")) & (F.col("th") == F.col("wth"))).drop("wid", "wth")
+    """Texts of the documents in ``wanted`` (a stored table by id and th) with its columns. docs: id, text."""
+    w = wanted.withColumnsRenamed({"id": "wid"}).hint("merge")
+    some = parted(docs, "id", wanted)[1].withColumn("own", F.xxhash64("text"))
+    return some.join(w, F.col("id").eqNullSafe(F.col("wid")) & (F.col("own") == F.col("th"))).select("id", "th", "text", "spans")
 
 
 def _windows_of(window: int):
@@ -252,14 +229,14 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", window: int = WINDOW, buck
     blobs = scan.filter(F.col("kind") == _BLOB).select("bucket", "blob")
     told = written(blobs.groupBy("bucket").applyInArrow(_meet, _REPLY), "told")
     split = written(_by_document(told.filter("several")), "several")
-    hashed = _with_texts(docs, split).mapInArrow(_windows_of(window), _PASS).select("id", "th", "s", "w1", "w2")
+    hashed = _with_texts(docs.drop("th"), split).mapInArrow(_windows_of(window), _PASS).select("id", "th", "s", "w1", "w2")
     every = written(hashed.unionByName(scan.filter(F.col("kind") == _WINDOW_HASH).select("id", "th", "s", "w1", "w2")), "windows")
     place = F.struct(F.coalesce("id", F.lit(int(_LAST))).alias("id"), "s")
     first = written(every.groupBy("w1", "w2").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     late = every.join(first, ["w1", "w2"]).filter(place > F.col("place")).select("id", "th", "s", F.lit(1).alias("m"))
     removed = late.unionByName(told.filter("NOT several").select("id", "th", "s", "m")).unionByName(scan.filter(F.col("kind") == _REMOVED).select("id", "th", "s", "m"))
     removed = written(_by_document(removed), "removed")
-    changed = _with_texts(docs, removed).mapInArrow(_apply(window), "id long, n_words long, n_removed long, kept string")
+    changed = _with_texts(docs.drop("th"), removed).mapInArrow(_apply(window), "id long, n_words long, n_removed long, kept string")
     whole = scan.filter(F.col("kind") == _DOC).alias("a").join(removed.select(F.col("id").alias("rid"), F.col("th").alias("rth")), F.col("id").eqNullSafe(F.col("rid")) & (F.col("th") == F.col("rth")), "left_anti")
     whole = whole.select("id", F.col("s").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     out = whole.unionByName(changed.select("id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
