@@ -21,12 +21,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from roadflow.llm.common import blocks, parted, strings_of
+from roadflow.llm.common import blocks, mix, parted, strings_of
 from roadflow.llm.components import components
 from roadflow.session import ship_package, written
 
 BUDGET = 3
+#: Of 64 bits, a similarity of at least 0.8.
+WIDE_BUDGET = 12
+TABLES, BINS_A_KEY = 8, 4
 SEED = 42
 #: Fingerprints of one group in one task; larger groups are dealt out again.
 MOST_IN_GROUP = 1024
@@ -74,8 +78,11 @@ def xxh64(data: bytes, first: np.ndarray, last: np.ndarray, seed: int = SEED) ->
     return h
 
 
-def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
-    """The SimHash of each text, as unsigned 64-bit numbers. bytes.lower and bytes.split treat ASCII letters and white space alone."""
+def fingerprints(texts: list[bytes], shingle: int, samples: list[np.ndarray] | None = None) -> np.ndarray:
+    """The SimHash of each text, as unsigned 64-bit numbers. bytes.lower and bytes.split treat ASCII letters and white space alone.
+
+    samples: a list to append each text's sample keys to, see ``sample_keys``.
+    """
     words = [t.lower().split() for t in texts]
     data = b"\n".join(b" ".join(w) for w in words) + b"\n"
     n = np.array([len(w) for w in words], np.int64)
@@ -90,6 +97,8 @@ def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
     tail = head + np.minimum(shingle, total[head]) - 1
     out = np.zeros(len(texts), np.uint64)
     if not len(head):
+        if samples is not None:
+            samples.extend(np.zeros((len(texts), 0), np.int64))
         return out
     h = xxh64(data, start[head], end[tail])
     each = np.maximum(n - shingle + 1, np.minimum(n, 1))
@@ -98,19 +107,45 @@ def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, k : k + 1], axis=1, bitorder="little")
         over = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > each[n > 0][:, None]
         out[n > 0] |= np.packbits(over, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
+    if samples is not None:
+        samples.extend(sample_keys(h, np.repeat(np.arange(len(texts)), np.where(n > 0, each, 0)), len(texts)))
     return out
 
 
-def fingerprint_texts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, th, fp): the fingerprint of each row's text as a long, beside the text's xxhash64."""
+def sample_keys(h: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n texts up to TABLES keys, each of the smallest hashed shingles in BINS_A_KEY of its bins.
+
+    Texts with a share s of their shingles in common agree on a key with a chance of about s ** BINS_A_KEY. Keys of empty bins are left out.
+    """
+    p = mix(h ^ np.uint64(0x5851F42D4C957F2D))
+    slot = text * (TABLES * BINS_A_KEY) + (p % np.uint64(TABLES * BINS_A_KEY)).astype(np.int64)
+    order = np.lexsort((p, slot))
+    slot, p = slot[order], p[order]
+    first = np.concatenate([[True], slot[1:] != slot[:-1]])
+    low = np.full(n * TABLES * BINS_A_KEY, np.uint64(2**64 - 1))
+    low[slot[first]] = p[first]
+    low = low.reshape(n, TABLES, BINS_A_KEY)
+    key = np.tile(np.arange(TABLES, dtype=np.uint64), (n, 1))
+    for k in range(BINS_A_KEY):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, k])
+    some = (low != np.uint64(2**64 - 1)).any(axis=2)
+    return [a[b].view(np.int64) for a, b in zip(key, some)]
+
+
+def fingerprint_texts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", samples: bool = False) -> DataFrame:
+    """(id, th, fp): the fingerprint of each row's text as a long, beside the text's xxhash64. samples: with sample keys too."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text"):
-            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(fingerprints(strings_of(block.column(2)), shingle).view(np.int64))], ["id", "th", "fp"])
+            keys: list[np.ndarray] | None = [] if samples else None
+            fp = pa.array(fingerprints(strings_of(block.column(2)), shingle, keys).view(np.int64))
+            more = [pa.array(keys, pa.list_(pa.int64()))] if samples else []
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], fp, *more], ["id", "th", "fp", "keys"][: 3 + samples])
 
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
-    return docs.mapInArrow(run, docs.select("id", "th").schema.add("fp", "long"))
+    schema = docs.select("id", "th").schema.add("fp", "long")
+    return docs.mapInArrow(run, schema.add("keys", ArrayType(LongType())) if samples else schema)
 
 
 # ------------------------------------------------------------------ links
@@ -196,14 +231,20 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.nd
     return parts.root
 
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _link(batches, sampled=True)
+
+
+def _link(batches: Iterator[pa.RecordBatch], sampled: bool = False) -> Iterator[pa.RecordBatch]:
+    """Links within groups of rows (mask, fp): equal masked bits or, ``sampled``, equal keys in the mask's place."""
+
     def out(mask: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         value = fp.view(np.uint64)
-        key = value & mask.view(np.uint64)
+        key = mask.view(np.uint64) if sampled else value & mask.view(np.uint64)
         order = np.lexsort((value, key, mask))
         value, key, mask = value[order], key[order], mask[order]
         group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (mask[1:] != mask[:-1]))])
-        root = trie_links(group, value)
+        root = trie_links(group, value, WIDE_BUDGET if sampled else BUDGET)
         new = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(value[root[new]].view(np.int64))], ["u", "v"])
 
@@ -215,7 +256,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += len(m)
         if n >= ROWS_AT_ONCE:
             m, f = np.concatenate(masks), np.concatenate(fps)
-            key = f & m
+            key = m if sampled else f & m
             edge = np.flatnonzero((key[1:] != key[:-1]) | (m[1:] != m[:-1]))
             if len(edge):  # all but the last group, which may go on
                 cut = int(edge[-1]) + 1
@@ -258,10 +299,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.select("mask", "fp").mapInArrow(_link, "u long, v long")
 
 
+def sampled_links(fps: DataFrame) -> DataFrame:
+    """(u, v): links between fingerprints within WIDE_BUDGET bits of texts that agree on a sample key. fps: a stored table with fp and keys.
+
+    Texts that are 0.8 alike differ in about ten bits, too many for blocks of bits; a key in common takes the blocks' place.
+    """
+    ship_package(fps.sparkSession)
+    rows = fps.select(F.explode("keys").alias("key"), "fp").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sampled, "u long, v long")
+
+
 def classes(fps: DataFrame) -> DataFrame:
     """(fp, root, component_id): for each distinct fingerprint its component and the smallest id in it. fps: a stored table with id and fp."""
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    roots = components(links(distinct))
+    near = links(distinct)
+    if "keys" in fps.columns:
+        near = near.unionByName(sampled_links(fps))
+    roots = components(near)
     of = written(distinct.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "id", F.coalesce("v", "fp").alias("root")), "roots")
     smallest = written(of.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     return written(of.join(smallest, "root").select("fp", "root", "component_id"), "classes")
@@ -274,8 +328,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") ->
 
 
 def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (NULL last)."""
-    fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col), "fingerprints")
+    """docs with one row of each component: the one with the smallest id (NULL last).
+
+    Links are those within BUDGET bits and, among texts that agree on a sample key, those within WIDE_BUDGET bits, a similarity of 0.8 of
+    fingerprints. A pair of texts that share nine in ten of their shingles agrees on one of eight keys with a chance above 0.99.
+    """
+    fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col, samples=True), "fingerprints")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     of = written(fps.join(classes(fps), "fp").select("id", "th", "root"), "members")
     first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
