@@ -110,6 +110,20 @@ class Network:
 
         return cls.from_records(read_overpass(spark, path), **options)
 
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str, *, layer: str | None = None, **options) -> Network:
+        """A Shapefile or GeoPackage, if pyogrio and shapely are installed."""
+        from roadflow.sources.networks import read_vector_file
+
+        return cls.from_records(read_vector_file(spark, path, layer), **options)
+
+    @classmethod
+    def from_overpass(cls, spark: SparkSession, bbox, path: str, *, highway_regex: str | None = None, url: str | None = None, timeout: float = 90.0, **options) -> Network:
+        """Drivable ways of a bounding box from a map service; its answer is kept at ``path``."""
+        from roadflow.sources.networks import fetch_network
+
+        return cls.from_overpass_json(spark, fetch_network(bbox, path, highway_regex=highway_regex, url=url, timeout=timeout), **options)
+
     def with_edges(self, edges: DataFrame) -> Network:
         """The same network with other columns on its edges."""
         return Network(edges, self.nodes, self.zone, self.north, self._arrays)
@@ -144,6 +158,17 @@ class Network:
         """Edges from either node to the other."""
         return self.edges.filter(((F.col("u") == x) & (F.col("v") == y)) | ((F.col("u") == y) & (F.col("v") == x))).select("edge_id", "length_m")
 
+    def edge(self, edge_id: int):
+        """One edge as a Row: ends, length, vertices, limit and properties."""
+        row = self.edges.filter(F.col("edge_id") == edge_id).first()
+        if row is None:
+            raise KeyError(edge_id)
+        return row
+
+    def counts(self) -> tuple[int, int]:
+        """Edges and nodes."""
+        return self.edges.count(), self.nodes.count()
+
     def road_edge_ids(self, edge_id: int) -> DataFrame:
         return self.edges.filter(F.col("road_id") == self.edges.filter(F.col("edge_id") == edge_id).select("road_id").first()[0]).select("edge_id")
 

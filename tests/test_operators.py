@@ -127,6 +127,9 @@ def test_network_rules(spark):
     assert e[2]["length_m"] == pytest.approx(e[3]["length_m"]) and e[3]["xy"][0] == e[2]["xy"][-1]
     pieces = net.segments().filter("edge_id = 2").orderBy("seg_no").collect()
     assert all(math.hypot(p["x1"] - p["x0"], p["y1"] - p["y0"]) <= 25.001 for p in pieces)
+    assert net.counts() == (4, 3) and net.edge(2)["road_id"] == 2 and {r[0] for r in net.road_edge_ids(3).collect()} == {2, 3}
+    with pytest.raises(KeyError):
+        net.edge(99)
     assert pieces[-1]["arc0"] < e[2]["length_m"] and net.edges_between(e[0]["u"], e[0]["v"]).count() == 2
     with pytest.raises(ValueError):
         network(spark, line((5, 5)))
