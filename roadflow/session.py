@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
 _LOCAL: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -22,6 +23,8 @@ def ship_package(spark: SparkSession) -> None:
     Executors of a cluster do not share the driver's folders, so the package goes to them
     as a zip through Spark's own file server.
     """
+    if spark.conf.get(_BATCH) == "10000":  # Spark's default, too many whole texts for a small executor; any other choice stays
+        spark.conf.set(_BATCH, "1000")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
