@@ -38,6 +38,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:
@@ -84,7 +85,7 @@ def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame,
 
     def side(wanted_bit: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in blocks(batches):
                 b = np.asarray(batch.column(batch.num_columns - 1), np.int64)
                 mine = (shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == wanted_bit
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(mine)) for c in batch.columns[:-1]], batch.schema.names[:-1])
