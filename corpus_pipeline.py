@@ -26,8 +26,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs, shingle=SHINGLE)
+    """One document of each group of near-duplicates: texts linked by a Jaccard similarity of 0.8 or more of their shingle sets."""
+    return simhash.keep_one(docs, shingle=SHINGLE, exact=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
+from roadflow.llm import set_join
 from roadflow.llm.common import blocks, mix, parted, strings_of
 from roadflow.llm.components import components
 from roadflow.session import ship_package, written
@@ -78,11 +79,8 @@ def xxh64(data: bytes, first: np.ndarray, last: np.ndarray, seed: int = SEED) ->
     return h
 
 
-def fingerprints(texts: list[bytes], shingle: int, samples: list[np.ndarray] | None = None) -> np.ndarray:
-    """The SimHash of each text, as unsigned 64-bit numbers. bytes.lower and bytes.split treat ASCII letters and white space alone.
-
-    samples: a list to append each text's sample keys to, see ``sample_keys``.
-    """
+def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, text by text, and each text's number of them. bytes.lower and bytes.split treat ASCII letters and white space alone."""
     words = [t.lower().split() for t in texts]
     data = b"\n".join(b" ".join(w) for w in words) + b"\n"
     n = np.array([len(w) for w in words], np.int64)
@@ -95,20 +93,29 @@ def fingerprints(texts: list[bytes], shingle: int, samples: list[np.ndarray] | N
     nth = np.arange(len(total)) - np.repeat(np.cumsum(n) - n, n)
     head = np.flatnonzero((nth + shingle <= total) | (nth == 0))
     tail = head + np.minimum(shingle, total[head]) - 1
+    each = np.maximum(n - shingle + 1, np.minimum(n, 1))
+    return xxh64(data, start[head], end[tail]) if len(head) else np.zeros(0, np.uint64), each
+
+
+def fingerprints(texts: list[bytes], shingle: int, samples: list[np.ndarray] | None = None) -> np.ndarray:
+    """The SimHash of each text, as unsigned 64-bit numbers.
+
+    samples: a list to append each text's sample keys to, see ``sample_keys``.
+    """
+    h, each = shingle_hashes(texts, shingle)
     out = np.zeros(len(texts), np.uint64)
-    if not len(head):
+    if not len(h):
         if samples is not None:
             samples.extend(np.zeros((len(texts), 0), np.int64))
         return out
-    h = xxh64(data, start[head], end[tail])
-    each = np.maximum(n - shingle + 1, np.minimum(n, 1))
-    begin = (np.cumsum(each) - each)[n > 0]
+    some = each > 0
+    begin = (np.cumsum(each) - each)[some]
     for k in range(8):
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, k : k + 1], axis=1, bitorder="little")
-        over = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > each[n > 0][:, None]
-        out[n > 0] |= np.packbits(over, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
+        over = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > each[some][:, None]
+        out[some] |= np.packbits(over, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
     if samples is not None:
-        samples.extend(sample_keys(h, np.repeat(np.arange(len(texts)), np.where(n > 0, each, 0)), len(texts)))
+        samples.extend(sample_keys(h, np.repeat(np.arange(len(texts)), each), len(texts)))
     return out
 
 
@@ -327,15 +334,20 @@ def near_duplicates(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") ->
     return fps.join(classes(fps), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", exact: bool = False) -> DataFrame:
     """docs with one row of each component: the one with the smallest id (NULL last).
 
-    Links are those within BUDGET bits and, among texts that agree on a sample key, those within WIDE_BUDGET bits, a similarity of 0.8 of
-    fingerprints. A pair of texts that share nine in ten of their shingles agrees on one of eight keys with a chance above 0.99.
+    exact: links are all pairs of texts whose shingle sets have a Jaccard similarity of 0.8 or more, and no others, see ``set_join``. Otherwise
+    they are those of fingerprints within BUDGET bits and, among texts that agree on a sample key, within WIDE_BUDGET bits.
     """
-    fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col, samples=True), "fingerprints")
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    of = written(fps.join(classes(fps), "fp").select("id", "th", "root"), "members")
+    if exact:
+        fps = set_join.shingle_sets(docs, shingle=shingle, id_col=id_col)
+        roots = set_join.parts(fps).select(F.col("u").alias("uid"), "v")
+        of = written(fps.select("id", "th", "uid").join(roots, "uid", "left").select("id", "th", F.coalesce("v", "uid").alias("root")), "members")
+    else:
+        fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col, samples=True), "fingerprints")
+        of = written(fps.join(classes(fps), "fp").select("id", "th", "root"), "members")
     first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
     go = written(of.join(first, "root").filter(~key.eqNullSafe(F.col("k"))).select("id", "th").distinct(), "go")
     stay, maybe = parted(docs, id_col, go)
