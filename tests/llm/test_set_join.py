@@ -86,3 +86,18 @@ def test_odd_texts_and_chains(spark, monkeypatch, most):
     assert kept(spark, [docs[0]]) == brute_kept([docs[0]])
     empty = spark.createDataFrame(docs, COLUMNS).limit(0)
     assert corpus_pipeline.keep_one_of_each_group(spark, empty, "").count() == 0
+
+
+def test_near_copies_at_the_edge_go(spark):
+    """Pairs at 0.8 to 0.85, some of them beyond 12 bits or without a sample key in common."""
+    rng = np.random.default_rng(7)
+    docs = []
+    for k in range(150):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+        docs += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(edited(rng, words, 4, k)), "en")]
+    keys: list = []
+    fps = simhash.fingerprints([t.encode() for _, t, _ in docs], 5, keys)
+    near = [k for k in range(150) if similar(shingles(docs[2 * k][1]), shingles(docs[2 * k + 1][1]))]
+    missed = [k for k in near if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) > 12 or not set(keys[2 * k].tolist()) & set(keys[2 * k + 1].tolist())]
+    assert len(missed) >= 3  # both copies stayed
+    assert kept(spark, docs) == brute_kept(docs)
