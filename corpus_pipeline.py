@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without runs of lines that also stand earlier."""
-    return line_dedup.dedup(docs)
+    """Documents without runs of lines that also stand earlier; one or two lines of 50 words or more are a run as well."""
+    return line_dedup.dedup(docs, long_words=line_dedup.LONG_WORDS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ that occur once in the corpus are dropped. The others are extended both ways to
 of, by 128-bit hashes; the earliest place of each window stays and every later one is deleted, so longer matches go as a whole.
 A place is never paired with another: counts and earliest places are partial aggregates that join back.
 
-Defined results: NULL stays NULL; texts with fewer than ``run`` lines stay as they are. Places are ordered by id (NULL last), then line;
+``long_words``: fewer lines in a row are a run as well if they hold that many words. Each such span is a fingerprint of its own. The default
+has runs of ``run`` lines only.
+
+Defined results: NULL stays NULL; texts with fewer than ``run`` lines stay as they are, but for ``long_words``. Places are ordered by id (NULL last), then line;
 rows that share an id do not delete each other's lines at the same place. Runs are judged on the input. Blank lines stay. A text may
 become empty; its row stays. An ``n_chars`` column is brought up to date, further columns are passed on. An empty table gives no rows.
 """
@@ -26,13 +29,25 @@ from roadflow.llm.common import blocks, parted, strings_of, window_hashes
 from roadflow.session import ship_package, written
 
 RUN = 3
+#: Words that make fewer lines a run, where asked for.
+LONG_WORDS = 50
 _W1, _W2 = 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F
 _BLANK = b" \t\r\x0b\x0c"
 
 
-def line_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the lines that aren't blank."""
-    return np.array([xxhash.xxh64_intdigest(x) for line in text.split(b"\n") if (x := line.strip(_BLANK))], np.uint64)
+def lines_of(text: bytes) -> list[bytes]:
+    """The lines that aren't blank, without white space at their ends."""
+    return [x for line in text.split(b"\n") if (x := line.strip(_BLANK))]
+
+
+def line_hashes(lines: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(x) for x in lines], np.uint64)
+
+
+def long_spans(lines: list[bytes], run: int, long_words: int) -> list[tuple[int, int]]:
+    """(start, lines) of all spans of fewer than ``run`` lines with at least ``long_words`` words."""
+    total = np.cumsum([0, *(len(x.split()) for x in lines)])
+    return [(s, r) for r in range(1, run) for s in np.flatnonzero(total[r:] - total[:-r] >= long_words).tolist()]
 
 
 def winnow(h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,14 +61,16 @@ def winnow(h: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return at[new], new, np.diff(np.append(new, n))
 
 
-def _scan(run: int):
+def _scan(run: int, long_words: int | None):
     windows = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    sizes = range(1, run) if long_words else ()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            row, f, s, w = [], [], [], []
+            row, f, s, w, lines = [], [], [], [], []
             for i, text in enumerate(strings_of(block.column(2))):
-                h = line_hashes(text)
+                own = lines_of(text)
+                h = line_hashes(own)
                 at, first, times = winnow(h, run)
                 a, b = (window_hashes(h, run, base).view(np.int64).tolist() for base in (_W1, _W2))
                 for p, x, m in zip(h[at].view(np.int64).tolist(), first.tolist(), times.tolist()):
@@ -61,29 +78,38 @@ def _scan(run: int):
                     f.append(p)
                     s.append(x)
                     w.append([{"a": a[k], "b": b[k]} for k in range(x, x + m)])
+                    lines.append(run)
+                spans = long_spans(own, run, long_words) if long_words else []
+                short = {r: [window_hashes(h, r, base + 2 * r).view(np.int64).tolist() for base in (_W1, _W2)] for r in sizes if spans}
+                for x, r in spans:
+                    row.append(i)
+                    f.append(short[r][0][x])
+                    s.append(x)
+                    w.append([{"a": short[r][0][x], "b": short[r][1][x]}])
+                    lines.append(r)
             row = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), block.column(0).take(row), block.column(1).take(row), pa.array(s, pa.int32()), pa.array(w, windows)], ["f", "id", "th", "s", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), block.column(0).take(row), block.column(1).take(row), pa.array(s, pa.int32()), pa.array(lines, pa.int32()), pa.array(w, windows)], ["f", "id", "th", "s", "lines", "windows"])
 
     return scan
 
 
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN) -> DataFrame:
-    """(id, th, starts): where runs to delete start in the rows of that id and xxhash64 of the text, counting lines that aren't blank."""
+def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN, long_words: int | None = None) -> DataFrame:
+    """(id, th, spans): starts and lengths of the runs to delete in the rows of that id and xxhash64 of the text, counting lines that aren't blank."""
     ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), "text")
     kind = docs.schema["id"].dataType.simpleString()
-    marks = written(docs.mapInArrow(_scan(run), f"f long, id {kind}, th long, s int, windows array<struct<a:long,b:long>>"), "fingerprints")
+    marks = written(docs.mapInArrow(_scan(run, long_words), f"f long, id {kind}, th long, s int, lines int, windows array<struct<a:long,b:long>>"), "fingerprints")
     shared = written(marks.groupBy("f").agg(F.count("*").alias("n")).filter("n > 1").select("f"), "shared")
-    windows = written(marks.join(shared, "f").select("id", "th", "s", F.posexplode("windows").alias("k", "w")).select("id", "th", (F.col("s") + F.col("k")).alias("s"), "w.a", "w.b"), "windows")
+    windows = written(marks.join(shared, "f").select("id", "th", "s", "lines", F.posexplode("windows").alias("k", "w")).select("id", "th", (F.col("s") + F.col("k")).alias("s"), "lines", "w.a", "w.b"), "windows")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "s")
-    first = written(windows.groupBy("a", "b").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "place"), "first")
-    late = windows.join(first, ["a", "b"]).filter(place > F.col("place"))
-    return written(late.groupBy("id", "th").agg(F.collect_set("s").alias("starts")), "runs")
+    first = written(windows.groupBy("a", "b", "lines").agg(F.min(place).alias("place"), F.count("*").alias("n")).filter("n > 1").select("a", "b", "lines", "place"), "first")
+    late = windows.join(first, ["a", "b", "lines"]).filter(place > F.col("place"))
+    return written(late.groupBy("id", "th").agg(F.collect_set(F.struct("s", "lines")).alias("spans")), "runs")
 
 
-def cut_text(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
+def cut_text(text: str, spans: list[dict[str, int]]) -> tuple[str, int, int]:
     """The text without the runs, the number of lines that aren't blank, and how many of them went."""
-    gone = {s + k for s in starts for k in range(run)}
+    gone = {x["s"] + k for x in spans for k in range(x["lines"])}
     kept, n, went = [], 0, 0
     for line in text.split("\n"):
         if line.strip(_BLANK.decode()):
@@ -95,20 +121,20 @@ def cut_text(text: str, starts: list[int], run: int) -> tuple[str, int, int]:
     return "\n".join(kept), n, went
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN, long_words: int | None = None, counts: bool = False) -> DataFrame:
     """docs with repeated runs deleted from text; with ``counts`` also n_lines and n_removed."""
-    runs = repeated_runs(docs, id_col=id_col, run=run)
+    runs = repeated_runs(docs, id_col=id_col, run=run, long_words=long_words)
     clean, maybe = parted(docs, id_col, runs)
-    runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("starts").alias("__starts"))
+    runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     joined = maybe.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__id", "__th")  # alike at every size
-    joined = joined.unionByName(clean.withColumn("__starts", F.lit(None).cast("array<int>")))
+    joined = joined.unionByName(clean.withColumn("__spans", F.lit(None).cast("array<struct<s:int,lines:int>>")))
     names = docs.columns
     schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in ("n_lines", "n_removed") if counts)])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             column = {n: block.column(block.schema.get_field_index(n)) for n in names}
-            done = [cut_text(t, s or [], run) if t is not None else (None, 0, 0) for t, s in zip(column["text"].to_pylist(), block.column(len(names)).to_pylist())]
+            done = [cut_text(t, s or []) if t is not None else (None, 0, 0) for t, s in zip(column["text"].to_pylist(), block.column(len(names)).to_pylist())]
             if "n_chars" in column:
                 own = column["n_chars"].to_pylist()
                 column["n_chars"] = pa.array([len(d[0]) if d[2] else c for d, c in zip(done, own)], column["n_chars"].type)
