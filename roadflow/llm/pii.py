@@ -109,7 +109,7 @@ _DOT_WORD = r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])"
 _DISGUISE = re.compile(rf"(?P<br>{_BRACKETED})|(?P<at>{_WORDED})|(?P<dot>{_DOT_WORD})|(?P<digits>{_DIGIT_RUN})|(?P<plus>(?<!\w)plus[ \t]+(?=(?:{_DIGIT_WORD}|[0-9])))", re.I)
 _DIGIT_PART = re.compile(rf"(?P<word>{_DIGIT_WORD})|(?P<digit>[0-9])|(?P<dot>[ \t]+dot[ \t]+)|(?P<plus>[ \t]+plus[ \t]+)|(?P<gap>[ \t]*[-,./][ \t]*|[ \t]+)", re.I)
 #: Cheap necessary signs of a disguise of the second kind.
-_HINT = re.compile(rf"[\[({{<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}}>]|\bdot\b|(?<!\w)(?:{_DIGIT_WORD})[ \t,./-]+(?:{_DIGIT_WORD}|[0-9])(?!\w)", re.I)
+_HINT = re.compile(rf"[\[({{<][ \t]*(?:at|@|dot|\.)[ \t]*[\])}}>]|\bdot\b|(?<!\w)(?:{_DIGIT_WORD})[ \t,./-]+(?:{_DIGIT_WORD}|[0-9])(?!\w)|(?<!\w)plus[ \t]+(?:{_DIGIT_WORD}|[0-9])", re.I)
 
 Mapped = tuple[str, list[int], list[int], list[bool]]
 
