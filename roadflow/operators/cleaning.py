@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions.units import finite, to_mps
-from roadflow.kernels.dwell import dwell_mask
+from roadflow.kernels.dwell import dwells
 from roadflow.operators.aggregate import matched_only, require
+from roadflow.operators.trajectories import column, over_trajectories, seconds_of
 from roadflow.session import ship_package
 
 #: Scales a deviation by the median deviation so that it reads like a standard score.
@@ -54,8 +55,8 @@ def filter_by_speed(obs: DataFrame, *, min_speed: float | None = None, max_speed
 def filter_trajectory_speed(obs: DataFrame, *, drop_unmatched: bool = True, drop_missing_speed: bool = True, dwell_radius_m: float = 25.0, dwell_min_s: float = 120.0, max_speed: float | None = None, unit="mph") -> DataFrame:
     """Rows without stationary dwells; slow travel stays. ``max_speed`` applies before dwells are looked for, so it can join them.
 
-    A dwell is a run of a trajectory's fixes, in time order, all within the radius of the run's first fix and at least that long. Where a
-    run starts depends on how the one before ended, which no window frame can express; so a trajectory is one kernel call.
+    A dwell is a run of a trajectory's fixes, in time order (ties by point_id, where there is one), all within the radius of the run's first
+    fix and at least that long. Where a run starts depends on how the one before ended, which no window frame can express.
     """
     require(obs, {"traj_id", "time", "lon", "lat", "speed_mps"}, "filter_trajectory_speed")
     ship_package(obs.sparkSession)
@@ -63,14 +64,11 @@ def filter_trajectory_speed(obs: DataFrame, *, drop_unmatched: bool = True, drop
     if max_speed is not None:
         df = df.filter(finite(F.col("speed_mps")) <= to_mps(float(max_speed), unit))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable", na_position="last")
-        t = pdf["time"].to_numpy("datetime64[ns]")
-        seconds = t.astype("float64") / 1e9
-        seconds[pd.isna(t)] = float("nan")
-        return pdf[~dwell_mask(pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float), seconds, dwell_radius_m, dwell_min_s)]
+    def kernel(block: pa.RecordBatch, start: np.ndarray, more: bool, _: object) -> tuple[pa.RecordBatch, int, None]:
+        mask, n = dwells(column(block, "lon"), column(block, "lat"), seconds_of(block), start, dwell_radius_m, dwell_min_s, more)
+        return block.slice(0, n).filter(pa.array(~mask[:n])), n, None
 
-    out = df.groupBy("traj_id").applyInPandas(run, df.schema)
+    out = over_trajectories(df, kernel, df.schema)
     return out.filter(finite(F.col("speed_mps")).isNotNull()) if drop_missing_speed else out
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from roadflow.kernels.viterbi import Model, decode
 from roadflow.operators.aggregate import require
 from roadflow.operators.network import PIECE_M, Network, project_arrays
+from roadflow.operators.trajectories import column, over_trajectories
 
 _CARRIED = ("lon", "lat", "time", "speed_mps", "traj_id")
 
@@ -68,24 +68,22 @@ def nearest_match_join(network: Network, points: DataFrame, *, max_dist: float =
 
 
 def hmm_match(network: Network, points: DataFrame, *, sigma_z: float = 6.0, beta: float = 30.0, max_dist: float = 50.0, k: int = 8, max_route_dist_factor: float = 8.0) -> DataFrame:
-    """The likeliest edges of each trajectory (NULL ids are one). A trajectory is one kernel call; executors decode them in parallel."""
+    """The likeliest edges of each trajectory (NULL ids are one). Trajectories of a task are decoded side by side; a very long one in parts."""
     if "traj_id" not in points.columns:
         raise ValueError("hmm_match needs traj_id; nearest_match takes fixes without one")
     require(points, {"point_id", "lon", "lat", "time"}, "hmm_match")
     graph, pieces, carried = network.graph(), network.pieces(max_dist), _matched(points)
     model = Model(sigma_z, beta, max_dist, k, max_route_dist_factor)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "point_id"], kind="stable")
-        x, y = project_arrays(graph.value, pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float))
-        edge, dist = decode(graph.value["graph"], pieces.value, x, y, model)
-        pdf.insert(1, "edge_id", edge)
-        pdf.insert(2, "snap_dist_m", pd.Series(dist, pdf.index).astype(object).where(~np.isnan(dist), None))
-        return pdf
+    def kernel(block: pa.RecordBatch, start: np.ndarray, more: bool, state: object) -> tuple[pa.RecordBatch, int, object]:
+        x, y = project_arrays(graph.value, column(block, "lon"), column(block, "lat"))
+        edge, dist, n, state = decode(graph.value["graph"], pieces.value, x, y, start, model, state, more)
+        cols = [block.column(0), pa.array(edge), pa.array(dist, mask=np.isnan(dist)), *block.columns[1:]]
+        return pa.RecordBatch.from_arrays([c[:n] for c in cols], ["point_id", "edge_id", "snap_dist_m", *carried]), n, state
 
     df = points.select("point_id", *carried)
     kind = lambda c: df.schema[c].dataType.simpleString()
-    return df.groupBy("traj_id").applyInPandas(run, f"point_id {kind('point_id')}, edge_id long, snap_dist_m double, " + ", ".join(f"{c} {kind(c)}" for c in carried))
+    return over_trajectories(df, kernel, f"point_id {kind('point_id')}, edge_id long, snap_dist_m double, " + ", ".join(f"{c} {kind(c)}" for c in carried))
 
 
 class NearestMatcher:

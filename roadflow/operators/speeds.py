@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from roadflow.functions.geo import geodesic_distance
 from roadflow.kernels.intervals import Rules, derive
 from roadflow.operators.aggregate import require
 from roadflow.operators.network import Network, project_arrays
+from roadflow.operators.trajectories import column, numbered, over_trajectories, seconds_of
 
+# Columns of the public result.
 INTERVAL_COLUMNS = ("interval_id", "traj_id", "point_id_from", "point_id_to", "time", "t_from", "t_to", "dt_s", "distance_m", "speed_mps", "edge_from", "edge_to", "n_edges", "snap_dist_m", "speed_sigma_mps", "speed_var", "quality")
 
 
@@ -43,9 +46,9 @@ def derive_speeds(
 ) -> DerivedSpeeds:
     """Intervals between fixes of each trajectory and, for each, one row for every edge it touched.
 
-    points: where the accuracy column is, if matched lacks it. Interval ids are unique: a hash-free pair of trajectory and place would do
-    for joins, but a long is what the aggregates take; ``dense_ids`` numbers them from ``interval_id_start`` in the order of their first
-    fixes at the cost of a global sort.
+    points: where the accuracy column is, if matched lacks it. An interval's id is the point_id of the fix it starts from (ids of fixes are
+    unique, and a fix starts at most one); ``dense_ids`` numbers them from ``interval_id_start`` by the time of their first fixes. Fixes of a
+    trajectory that share a timestamp make a warning: of such a group only the last has an interval after it. ``tied_fixes`` counts them.
     """
     require(matched, {"point_id", "edge_id", "lon", "lat", "time"}, "derive_speeds")
     graph = network.graph()
@@ -55,33 +58,33 @@ def derive_speeds(
     has_sigma, has_snap = bool(pos_accuracy_col) and pos_accuracy_col in df.columns, "snap_dist_m" in df.columns
     df = df.select("point_id", "traj_id", "lon", "lat", "time", "edge_id", *(["snap_dist_m"] if has_snap else []), *([F.col(pos_accuracy_col).try_cast("double").alias("sigma")] if has_sigma else []))
     rules = Rules(min_dt_s, max_dt_s, max_snap_dist_m, max_speed_mps, min_snr, max_route_dist_factor, route_cutoff_floor_m, min_baseline_m)
-    kind = df.schema["traj_id"].dataType.simpleString()
-    schema = f"traj_id {kind}, seq long, point_id_from long, point_id_to long, time timestamp_ntz, t_from timestamp_ntz, t_to timestamp_ntz, dt_s double, distance_m double, speed_mps double, edge_from long, edge_to long, n_edges int, snap_dist_m double, speed_sigma_mps double, speed_var double, quality boolean, edge_ids array<long>"
+    kind = {c: df.schema[c].dataType.simpleString() for c in ("traj_id", "point_id", "time")}
+    t = kind["time"]
+    schema = f"traj_id {kind['traj_id']}, point_id_from {kind['point_id']}, point_id_to {kind['point_id']}, time {t}, t_from {t}, t_to {t}, dt_s double, distance_m double, speed_mps double, edge_from long, edge_to long, n_edges int, snap_dist_m double, speed_sigma_mps double, speed_var double, quality boolean, edge_ids array<long>"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "point_id"], kind="stable")
+    def kernel(block: pa.RecordBatch, start: np.ndarray, more: bool, _: object) -> tuple[pa.RecordBatch, int, None]:
         shared = graph.value
-        x, y = project_arrays(shared, pdf["lon"].to_numpy(float), pdf["lat"].to_numpy(float))
-        t = pdf["time"].to_numpy("datetime64[ns]")
-        seconds = (t - t[:1]).astype("timedelta64[ns]").astype(float) / 1e9
-        seconds[np.isnat(t)] = np.nan
-        sigma = pdf["sigma"].to_numpy(float) if has_sigma else np.full(len(pdf), np.nan)
+        x, y = project_arrays(shared, column(block, "lon"), column(block, "lat"))
+        sigma = column(block, "sigma") if has_sigma else np.full(len(x), np.nan)
         sigma = np.where(np.isfinite(sigma) & (sigma > 0), sigma, default_pos_sigma_m)
-        edge = pdf["edge_id"].fillna(-1).to_numpy(np.int64)
-        got = derive(shared["graph"], shared["order"], seconds, x, y, edge, pdf["snap_dist_m"].to_numpy(float) if has_snap else None, sigma, rules)
-        pid, tid = pdf["point_id"].to_numpy(), pdf["traj_id"].iloc[0]
-        rows = [
-            (tid, k, pid[a], pid[b], t[a] + (t[b] - t[a]) / 2, t[a], t[b], dt, dist, v, edge[a], edge[b], len(edges), snap, sig, sig**2, good, edges)
-            for k, (a, b, dt, dist, v, snap, sig, good, edges) in enumerate(got)
-        ]
-        return pd.DataFrame(rows, columns=names)
-
-    found = df.groupBy("traj_id").applyInPandas(run, schema)
+        edge = np.asarray(pc.cast(block.column(block.schema.get_field_index("edge_id")), pa.int64()).fill_null(-1))
+        got, n = derive(shared["graph"], start, seconds_of(block), x, y, edge, column(block, "snap_dist_m") if has_snap else None, sigma, rules, more)
+        a, b = pa.array(got["from"]), pa.array(got["to"])
+        tid, pid, when = (block.column(block.schema.get_field_index(c)) for c in ("traj_id", "point_id", "time"))
+        t_from, t_to = when.take(a), when.take(b)
+        mid = pc.cast(pc.divide(pc.add(pc.cast(t_from, pa.int64()), pc.cast(t_to, pa.int64())), 2), pa.timestamp("us")).cast(when.type)
+        edges = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(got["n_edges"])), pa.int32()), pa.array(got["edges"]))
+        snap = pa.array(got["snap"], mask=np.isnan(got["snap"]))
+        cols = [tid.take(a), pid.take(a), pid.take(b), mid, t_from, t_to, *(pa.array(got[c]) for c in ("dt_s", "distance_m", "speed_mps")), pa.array(edge[got["from"]]), pa.array(edge[got["to"]])]
+        cols += [pa.array(got["n_edges"], pa.int32()), snap, pa.array(got["sigma"]), pa.array(got["sigma"] ** 2), pa.array(got["quality"]), edges]
+        return pa.RecordBatch.from_arrays(cols, names), n, None
+
+    found = over_trajectories(df, kernel, schema)
     if dense_ids:
-        found = found.withColumn("interval_id", F.row_number().over(Window.orderBy("t_from", "point_id_from", "seq")).cast("long") - 1 + interval_id_start)
-    else:  # two fixes name an interval; ids of fixes are unique
-        found = found.withColumn("interval_id", F.xxhash64("traj_id", "point_id_from", "point_id_to"))
+        found = numbered(found, ("t_from", "point_id_from"), "interval_id", interval_id_start)
+    else:  # a fix starts one interval at most, so its id names the interval
+        found = found.withColumn("interval_id", F.col("point_id_from") + interval_id_start)
     intervals = found.select(*INTERVAL_COLUMNS)
     each = found.select("interval_id", F.explode("edge_ids").alias("edge_id"), "speed_mps", "time", "traj_id", "dt_s", "distance_m", "snap_dist_m", "speed_sigma_mps", "speed_var", "quality")
     return DerivedSpeeds(intervals, each)
