@@ -156,6 +156,22 @@ class Graph:
             self._either = Reach(Links(twice(self.u, self.v), twice(self.v, self.u), twice(self.length, self.length), np.tile(np.arange(len(self.u)), 2), self.nodes))
         return self._either
 
+    def pieces(self, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Edge, ends (x0, y0, x1, y1) and metres from the edge's start of pieces of at most ``most`` metres, in the order of edges."""
+        count = np.diff(self.start) - 1
+        edge = np.repeat(np.arange(len(self.u)), count)
+        p = np.repeat(self.start[:-1], count) + spread(count)
+        a, b = self.xy[p], self.xy[p + 1]
+        size = np.hypot(*(b - a).T)
+        total = np.cumsum(size) - size
+        arc = total - np.repeat(total[np.minimum(np.cumsum(count) - count, max(0, len(total) - 1))], count) if len(size) else size
+        parts = np.maximum(1, np.ceil(size / most)).astype(np.int64)
+        of, k = np.repeat(np.arange(len(size)), parts), spread(parts)
+        m = parts[of]
+        at = lambda k: a[of] + (k / m)[:, None] * (b[of] - a[of])
+        ends = np.concatenate([at(k), np.where((k + 1 == m)[:, None], b[of], at(k + 1))], axis=1)
+        return edge[of], ends, arc[of] + k / m * size[of]
+
     def arcs(self, edge: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Metres from each edge's start to its point nearest to the place; NaN for edge -1."""
         out = np.full(len(edge), np.nan)

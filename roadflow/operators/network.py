@@ -205,10 +205,7 @@ class Network:
         shared = self.graph()
         kept = self._arrays[1]
         if reach not in kept:
-            got = self.segments().orderBy("edge_id", "seg_no").toArrow()
-            ends = np.column_stack([got.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1")])
-            kept[reach] = self.edges.sparkSession.sparkContext.broadcast(Pieces(got.column("edge_id").to_numpy(), ends, got.column("arc0").to_numpy(), reach, PIECE_M))
-        del shared
+            kept[reach] = self.edges.sparkSession.sparkContext.broadcast(Pieces(*shared.value["graph"].pieces(PIECE_M), reach, PIECE_M))
         return kept[reach]
 
 

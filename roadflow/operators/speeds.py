@@ -43,12 +43,14 @@ def derive_speeds(
     min_baseline_m: float | None = None,
     interval_id_start: int = 0,
     dense_ids: bool = False,
+    dealt: bool = False,
 ) -> DerivedSpeeds:
     """Intervals between fixes of each trajectory and, for each, one row for every edge it touched.
 
     points: where the accuracy column is, if matched lacks it. An interval's id is the point_id of the fix it starts from (ids of fixes are
     unique, and a fix starts at most one); ``dense_ids`` numbers them from ``interval_id_start`` by the time of their first fixes. Fixes of a
-    trajectory that share a timestamp make a warning: of such a group only the last has an interval after it. ``tied_fixes`` counts them.
+    trajectory that share a timestamp: of such a group only the last has an interval after it; ``tied_fixes`` counts them. dealt: matched comes
+    straight from ``hmm_match``, so its trajectories are dealt out and in order already, and need no second shuffle.
     """
     require(matched, {"point_id", "edge_id", "lon", "lat", "time"}, "derive_speeds")
     graph = network.graph()
@@ -80,7 +82,7 @@ def derive_speeds(
         cols += [pa.array(got["n_edges"], pa.int32()), snap, pa.array(got["sigma"]), pa.array(got["sigma"] ** 2), pa.array(got["quality"]), edges]
         return pa.RecordBatch.from_arrays(cols, names), n, None
 
-    found = over_trajectories(df, kernel, schema)
+    found = over_trajectories(df, kernel, schema, dealt=dealt)
     if dense_ids:
         found = numbered(found, ("t_from", "point_id_from"), "interval_id", interval_id_start)
     else:  # a fix starts one interval at most, so its id names the interval

@@ -45,13 +45,14 @@ def seconds_of(block: pa.RecordBatch) -> np.ndarray:
     return out
 
 
-def over_trajectories(df: DataFrame, kernel: Kernel, schema: str, *, tie: str | None = "point_id") -> DataFrame:
+def over_trajectories(df: DataFrame, kernel: Kernel, schema: str, *, tie: str | None = "point_id", dealt: bool = False) -> DataFrame:
     """The kernel over df's trajectories (column traj_id, NULLs are one) in time order, NULL times last; ties by ``tie`` if df has it.
 
-    A trajectory that is longer than a block comes in parts, so memory doesn't follow its length.
+    A trajectory that is longer than a block comes in parts, so memory doesn't follow its length. dealt: df's partitions hold whole trajectories in
+    that order already, as those of another such kernel's output do.
     """
-    by = ["traj_id", F.col("time").asc_nulls_last(), *([tie] if tie and tie in df.columns else [])]
-    dealt = df.repartition("traj_id").sortWithinPartitions(*by)
+    if not dealt:
+        df = df.repartition("traj_id").sortWithinPartitions("traj_id", F.col("time").asc_nulls_last(), *([tie] if tie and tie in df.columns else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -98,7 +99,7 @@ def over_trajectories(df: DataFrame, kernel: Kernel, schema: str, *, tie: str |
                 yield kernel(block.slice(0, first), np.array([0, first]), False, carried)[0]
                 yield kernel(block.slice(first), start[1:] - first, False, None)[0]
 
-    return dealt.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

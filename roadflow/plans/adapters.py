@@ -69,5 +69,13 @@ def road_records(spark: SparkSession) -> DataFrame:
     return r.select(F.col("road_no").alias("record_no"), F.array(F.struct(lon.alias("lon"), lat.alias("lat")), end).alias("coords"), F.create_map(F.lit("maxspeed"), "maxspeed", F.lit("name"), F.concat(F.lit("road "), F.col("road_no").cast("string"))).alias("props"))
 
 
+_networks: dict[str, Network] = {}
+
+
 def network(spark: SparkSession) -> Network:
-    return Network.from_records(road_records(spark), metric_epsg=EPSG)
+    """The network, built once a session; its tables and arrays serve all queries."""
+    app = spark.sparkContext.applicationId
+    if app not in _networks:
+        _networks.clear()
+        _networks[app] = Network.from_records(road_records(spark), metric_epsg=EPSG)
+    return _networks[app]

@@ -151,7 +151,7 @@ def hmm_edges(spark, sf_dir):
 
 def derived_speeds(spark, sf_dir):
     net = adapters.network(spark)
-    return rounded(speeds.derive_speeds(net, matching.hmm_match(net, adapters.fixes(spark, sf_dir)), min_baseline_m=50.0).intervals)
+    return rounded(speeds.derive_speeds(net, matching.hmm_match(net, adapters.fixes(spark, sf_dir)), min_baseline_m=50.0, dealt=True).intervals)
 
 
 def chord_speeds(spark, sf_dir):
