@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from roadflow.session import ship_package
 
 #: Bytes of text that a kernel holds at once; a longer single text forms a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +25,49 @@ def crc_of_id(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, made from these."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def cols(df: DataFrame, names: list[str] | None = None) -> list[Column]:
+    """df's columns by name, whatever signs the names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in (df.columns if names is None else names)]
+
+
+_frugal: list[bool] = []
+
+
+def _return_memory() -> None:
+    """From now on this worker gives what it frees back to the machine: several workers share an executor's memory with its JVM.
+
+    Freed arrays of 256 kB and more go back at once (glibc would raise that limit by itself, and keep them), and Arrow takes its memory from there too.
+    """
+    if _frugal:
+        return
+    _frugal.append(True)
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):  # another C library
+        return
+    for what, value in ((-3, 1 << 18), (-1, 1 << 20), (-8, 1)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+        mallopt(what, value)
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: str | int = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of text each, so that memory doesn't follow the batch size."""
+    _return_memory()
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
+        column = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
         size = np.diff(offsets_of(column))
         ends = np.cumsum(size)
         start = 0
@@ -38,7 +76,6 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
-        pa.default_memory_pool().release_unused()
 
 
 def offsets_of(column: pa.Array) -> np.ndarray:
@@ -73,7 +110,7 @@ FILTER_BITS = 22
 def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs that are surely not in ``wanted``, and those that may be. wanted: a stored table of id and th (xxhash64 of text).
 
-    A filter of fixed size with a bit for each wanted row keeps most texts out of the join that settles the others.
+    A filter of fixed size with a bit for each wanted row keeps most texts out of the join that settles the others. docs may have any columns.
     """
     ship_package(docs.sparkSession)
     bit = lambda i, t: F.xxhash64(i, t).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
@@ -81,11 +118,12 @@ def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame,
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[found.to_numpy()] = True
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-    marked = docs.withColumn("__bit", bit(F.col(id_col), F.xxhash64("text")))
+    marked = docs.select("*", bit(F.col(id_col), F.xxhash64("text")).alias(own_names(docs, "__bit")[0]))
+    at = docs.columns.index("text")
 
     def side(wanted_bit: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in blocks(batches):
+            for batch in blocks(batches, at):
                 b = np.asarray(batch.column(batch.num_columns - 1), np.int64)
                 mine = (shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == wanted_bit
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(mine)) for c in batch.columns[:-1]], batch.schema.names[:-1])
@@ -99,7 +137,6 @@ def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame,
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _P = 0xD6E8FEB86659FD93
-_P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -140,11 +177,11 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     """A 64-bit hash of each byte span [first, last), equal for equal bytes wherever they stand."""
     if not len(first):
         return np.zeros(0, np.uint64)
-    n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, n), out=total[1:])
-    raw = (total[last] - total[first]) * powers(_P_INV, n + 1)[first]
-    return mix(raw ^ (last - first).astype(np.uint64) * _ODD)
+    size = last - first
+    begin = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(begin, size)  # of each byte in its span
+    raw = np.add.reduceat((data[np.repeat(first, size) + place].astype(np.uint64) + np.uint64(1)) * powers(_P, int(size.max()))[place], begin)
+    return mix(raw ^ size.astype(np.uint64) * _ODD)
 
 
 def window_hashes(words: np.ndarray, size: int, base: int) -> np.ndarray:

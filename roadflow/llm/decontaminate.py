@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, parted, span_hashes, window_hashes, word_spans
+from roadflow.llm.common import blocks, bytes_of, own_names, parted, span_hashes, window_hashes, word_spans
 from roadflow.session import ship_package, written
 
 WINDOW = 13
@@ -156,5 +156,6 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str =
     """docs without the contaminated ones. Rows of equal id and text share their fate."""
     bad = written(find(docs, benchmark, id_col=id_col).filter("contaminated").select(F.col(id_col).alias("id"), "th").distinct(), "contaminated")
     stay, maybe = parted(docs, id_col, bad)
-    bad = bad.select(F.col("id").alias("__id"), F.col("th").alias("__th")).hint("merge")
-    return stay.unionByName(maybe.join(bad, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti"))
+    bid, bth = own_names(docs, "__id", "__th")
+    bad = bad.select(F.col("id").alias(bid), F.col("th").alias(bth)).hint("merge")
+    return stay.unionByName(maybe.join(bad, F.col(id_col).eqNullSafe(F.col(bid)) & (F.xxhash64("text") == F.col(bth)), "left_anti"))

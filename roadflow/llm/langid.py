@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks
+from roadflow.llm.common import blocks, cols
 from roadflow.session import ship_package
 
 ORDERS = 3
@@ -128,9 +128,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, *, keep: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, table = model.value
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, len(keep)):
             lang, share = score(block.column(block.num_columns - 1).to_pylist(), names, table)
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(lang, pa.string()), pa.array(share, pa.float64())], [*keep, "lang_pred", "score"])
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*cols(docs, keep)).schema.add("lang_pred", "string").add("score", "double")
+    return docs.select(*cols(docs, keep), F.col("text").alias("__text")).mapInArrow(run, schema)

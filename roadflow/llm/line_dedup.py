@@ -11,7 +11,8 @@ has runs of ``run`` lines only.
 
 Defined results: NULL stays NULL; texts with fewer than ``run`` lines stay as they are, but for ``long_words``. Places are ordered by id (NULL last), then line;
 rows that share an id do not delete each other's lines at the same place. Runs are judged on the input. Blank lines stay. A text may
-become empty; its row stays. An ``n_chars`` column is brought up to date, further columns are passed on. An empty table gives no rows.
+become empty; its row stays. An ``n_chars`` column is brought up to date, further columns are passed on, whatever their names. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from roadflow.llm.common import blocks, parted, strings_of, window_hashes
+from roadflow.llm.common import blocks, own_names, parted, strings_of, window_hashes
 from roadflow.session import ship_package, written
 
 RUN = 3
@@ -122,24 +123,31 @@ def cut_text(text: str, spans: list[dict[str, int]]) -> tuple[str, int, int]:
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN, long_words: int | None = None, counts: bool = False) -> DataFrame:
-    """docs with repeated runs deleted from text; with ``counts`` also n_lines and n_removed."""
+    """docs with repeated runs deleted from text; with ``counts`` also n_lines and n_removed, in the place of columns of these names."""
     runs = repeated_runs(docs, id_col=id_col, run=run, long_words=long_words)
+    if counts:
+        docs = docs.drop("n_lines", "n_removed")
     clean, maybe = parted(docs, id_col, runs)
-    runs = runs.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    joined = maybe.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left").drop("__id", "__th")  # alike at every size
-    joined = joined.unionByName(clean.withColumn("__spans", F.lit(None).cast("array<struct<s:int,lines:int>>")))
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, *(StructField(n, LongType()) for n in ("n_lines", "n_removed") if counts)])
+    rid, rth, spans = own_names(docs, "__id", "__th", "__spans")
+    runs = runs.select(F.col("id").alias(rid), F.col("th").alias(rth), F.col("spans").alias(spans))
+    joined = maybe.join(runs.hint("merge"), F.col(id_col).eqNullSafe(F.col(rid)) & (F.xxhash64("text") == F.col(rth)), "left").drop(rid, rth)  # alike at every size
+    fields = [*docs.schema.fields, *(StructField(n, LongType()) for n in ("n_lines", "n_removed") if counts)]
+    place = {n: i for i, n in enumerate(docs.columns)}
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            column = {n: block.column(block.schema.get_field_index(n)) for n in names}
-            done = [cut_text(t, s or []) if t is not None else (None, 0, 0) for t, s in zip(column["text"].to_pylist(), block.column(len(names)).to_pylist())]
-            if "n_chars" in column:
-                own = column["n_chars"].to_pylist()
-                column["n_chars"] = pa.array([len(d[0]) if d[2] else c for d, c in zip(done, own)], column["n_chars"].type)
-            column["text"] = pa.array([d[0] for d in done], column["text"].type)
+        for block in blocks(batches, place["text"]):
+            column = list(block.columns[:-1])
+            done = [cut_text(t, s or []) if t is not None else (None, 0, 0) for t, s in zip(column[place["text"]].to_pylist(), block.column(block.num_columns - 1).to_pylist())]
+            if "n_chars" in place:
+                own = column[place["n_chars"]]
+                column[place["n_chars"]] = pa.array([len(d[0]) if d[2] else c for d, c in zip(done, own.to_pylist())], own.type)
+            column[place["text"]] = pa.array([d[0] for d in done], column[place["text"]].type)
             extra = [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2)] if counts else []
-            yield pa.RecordBatch.from_arrays([*column.values(), *extra], schema.names)
-
-    return joined.mapInArrow(apply, schema)
+            yield pa.RecordBatch.from_arrays([*column, *extra], [f.name for f in fields])
+
+    cut = joined.mapInArrow(apply, StructType(fields))
+    if counts:  # rows without repeats pass by without a second kernel
+        blank = F.lit(_BLANK.decode())
+        n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, blank) != "")).cast("long")
+        clean = clean.withColumns({"n_lines": n_lines, "n_removed": F.lit(0).cast("long")})
+    return cut.unionByName(clean)

@@ -5,7 +5,7 @@ CAPS, and a word equal to the one before yields the pair SAME. A text is the spa
 word and pair of words has in it. Training reads a bounded sample of labelled rows; the weights have a fixed size.
 
 Defined results: NULL and empty texts have no words and get the score of the bias alone. Very long texts are scored whole.
-Documents whose label is NULL teach nothing; several labels of one id count as their mean. Without any label every score is
+Documents whose label is NULL teach nothing; several labels of one id count as their mean, and of several documents of one id one teaches. Without any label every score is
 0.5. Equal texts get equal scores. Only ``text`` is read for a score.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, mix, span_hashes
+from roadflow.llm.common import blocks, bytes_of, cols, mix, span_hashes
 from roadflow.session import ship_package
 
 BUCKETS = 1 << 18
@@ -111,6 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_c
     chosen = known.withColumn("ord", F.xxhash64("id")).orderBy("ord", "id").limit(rows)  # a fixed bound, so it may be broadcast
     sample = docs.select(F.col(id_col).alias("id"), "text").join(F.broadcast(chosen), "id")
     lessons = sample.select("ord", "label", "text").mapInArrow(_lessons, "ord long, label int, idx array<int>, val array<float>")
+    # one document an id, so that repeated ids bring no more than `rows` of them
+    lessons = lessons.groupBy("ord").agg(F.min_by(F.struct("label", "idx", "val"), F.struct(F.size("idx"), F.xxhash64("idx", "val"))).alias("x")).select("ord", "x.*")
     fitted = lessons.repartition(1).mapInArrow(_fit, "w binary").collect()  # at most `rows` sparse vectors in; one row out
     return np.frombuffer(fitted[0]["w"], np.float32) if fitted else np.zeros(BUCKETS + 1, np.float32)
 
@@ -133,9 +135,9 @@ def predict(docs: DataFrame, w: np.ndarray, *, keep: list[str], threshold: float
     model = spark.sparkContext.broadcast(w)  # BUCKETS + 1 floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, len(keep)):
             got = scores(*bytes_of(block.column(block.num_columns - 1)), model.value)
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32), pa.int32())], [*keep, *names])
 
-    schema = docs.select(*keep).schema.add(names[0], "double").add(names[1], "integer")
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+    schema = docs.select(*cols(docs, keep)).schema.add(names[0], "double").add(names[1], "integer")
+    return docs.select(*cols(docs, keep), F.col("text").alias("__text")).mapInArrow(run, schema)

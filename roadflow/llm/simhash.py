@@ -9,7 +9,7 @@ found by stars on the distinct fingerprints.
 
 Defined results: NULL and empty texts have no words and fingerprint zero, linked like any other. Fewer words than a shingle count as one
 shingle. Repeated rows share a fingerprint and are never paired up. NULL ids take part but are never the smallest, unless a component
-has no other. An empty table gives no rows. Columns other than id and text are never looked at.
+has no other. An empty table gives no rows. Columns other than id and text are passed on unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from roadflow.llm import set_join
-from roadflow.llm.common import blocks, mix, parted, strings_of
+from roadflow.llm.common import blocks, cols, mix, own_names, parted, strings_of
 from roadflow.llm.components import components
 from roadflow.session import ship_package, written
 
@@ -351,13 +351,14 @@ def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", exact: bo
     first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
     go = written(of.join(first, "root").filter(~key.eqNullSafe(F.col("k"))).select("id", "th").distinct(), "go")
     stay, maybe = parted(docs, id_col, go)
-    go = go.select(F.col("id").alias("__id"), F.col("th").alias("__th")).hint("merge")
-    kept = stay.unionByName(maybe.join(go, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__th")), "left_anti"))
+    gid, gth, none, row = own_names(docs, "__id", "__th", "__none", "__row")
+    go = go.select(F.col("id").alias(gid), F.col("th").alias(gth)).hint("merge")
+    kept = stay.unionByName(maybe.join(go, F.col(id_col).eqNullSafe(F.col(gid)) & (F.xxhash64("text") == F.col(gth)), "left_anti"))
     again = written(fps.groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1").select("id", "th"), "again")
     if again.isEmpty():
         return kept
     # rows of equal id and text: one of them
-    once, many = parted(kept, id_col, again)
-    own = {"__none": F.col(id_col).isNull(), "__id": F.coalesce(id_col, F.lit(0)), "__th": F.xxhash64("text")}
-    one = many.withColumns(own).groupBy(*own).agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    once, many = parted(written(kept, "kept"), id_col, again)
+    own = {none: F.col(id_col).isNull(), gid: F.coalesce(F.col(id_col), F.lit(0)), gth: F.xxhash64("text")}
+    one = many.withColumns(own).groupBy(*own).agg(F.first(F.struct(*cols(docs))).alias(row)).select(f"{row}.*")
     return once.unionByName(one)
