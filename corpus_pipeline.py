@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow.llm import decontaminate, line_dedup, packing, quality, simhash
-from roadflow.llm.common import table
+from roadflow.llm.common import own_names, table
 from roadflow.llm.queries import quality_weights, tokenizer_path
 from roadflow.session import written
 
@@ -16,8 +16,9 @@ SHINGLE = 5
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality.predict(docs, quality_weights(docs, sf_dir), keep=docs.columns, names=("__score", "__predicted"))
-    return scored.filter(F.col("__predicted") == 1).select(*docs.columns)
+    score, predicted = own_names(docs, "__score", "__predicted")
+    scored = quality.predict(docs, quality_weights(docs, sf_dir), keep=docs.columns, names=(score, predicted))
+    return scored.filter(F.col(predicted) == 1).drop(score, predicted)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
