@@ -1,13 +1,15 @@
 """URL filters: a sort-merge range join of URLs with prefix rules, in DataFrame functions only.
 
 A canonical key is the host's labels in reverse, a slash, then the path: ``org.example/`` + ``/es/1``. A rule on a host and a
-path prefix is the interval of all keys with its key as prefix; within one host such intervals are nested or disjoint. One
-sorted sweep over a host's interval ends keeps the stack of the rules that are open and notes which rule is innermost from
-each end on. A URL enters with one key for each suffix of its host that is as deep as some rule's host; URLs' keys and interval
+path prefix is the interval of all keys with its key as prefix; within one host such intervals are nested or disjoint. A sorted sweep
+over a host's interval ends keeps the stack of open rules: its height is a running count of opened less closed ones, and its entry at a
+height is the rule last opened there. So each end knows which rule is innermost from it on: the one it opens, or the entry below the
+one it closes. A URL enters with one key for each suffix of its host that is a rule's host, whatever its depth; URLs' keys and interval
 ends are sorted together, and the last end before a key names its innermost rule. The longest rule over all suffixes wins.
 
-Keys are dealt out by host suffix and a salt of the whole URL, so a host with most of the rows fills many partitions; the interval
-ends of a host go to each of its salts. Only the rules of one host are ever gathered (see ``MOST_RULES_A_HOST``).
+Only distinct pairs of host and path that some rule's host fits go through the sweep, and the answers are joined back. A host's share of
+them decides over how many salts it is dealt out, so a host with most of the rows fills many partitions, and its rules are copied to no more
+than these. All steps are sorts, windows and joins, which spill; no list of rules is ever built, and no number of rules or of labels is too large.
 
 Defined results: NULL URLs and those without ``://`` have empty host and path, match no rule and get the default verdict. Equal
 rows stay separate rows. Of equal rules with different verdicts ``block`` holds. Between rules of equal length on nested hosts
@@ -16,14 +18,9 @@ the longer host wins. Further columns of the pages are not returned.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rules on one and the same host; more raise an error instead of filling one task.
-MOST_RULES_A_HOST = 100_000
-
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -51,44 +48,39 @@ def interval_ends(rules: DataFrame) -> DataFrame:
     """
     rules = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
     rule = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("deep"), F.concat("host", "path").alias("rule"), "verdict")
-    key = _key(F.col("host"), F.col("path"))
-    ends = rules.select(
-        F.col("host").alias("suffix"),
-        F.explode(F.array(F.struct(key.alias("key"), F.lit(0).alias("closes"), rule.alias("rule")), F.struct(F.concat(key, F.unhex(F.lit("FF"))).alias("key"), F.lit(1).alias("closes"), rule.alias("rule")))).alias("end"),
-    )
-    by_host = ends.groupBy("suffix").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("end")).alias("ends"))
-    by_host = by_host.withColumn("ends", F.when(F.col("n") <= 2 * MOST_RULES_A_HOST, F.col("ends")).otherwise(F.raise_error(F.lit("too many rules on one host"))))
-    kind = "struct<size:int,deep:int,rule:string,verdict:string>"
-    start = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("stack"), F.expr(f"cast(array() as array<struct<key:binary,open:{kind}>>)").alias("out"))
-
-    def step(acc: Column, end: Column) -> Column:
-        stack = F.when(end["closes"] == 0, F.concat(acc["stack"], F.array(end["rule"]))).otherwise(F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - 1))
-        top = F.coalesce(F.try_element_at(stack, F.lit(-1)), F.expr(f"cast(named_struct('size', null, 'deep', null, 'rule', null, 'verdict', null) as {kind})"))
-        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(end["key"].alias("key"), top.alias("open")))).alias("out"))
-
-    return by_host.select("suffix", F.inline(F.aggregate("ends", start, step, lambda acc: acc["out"])))
+    rules = rules.select(F.col("host").alias("suffix"), _key(F.col("host"), F.col("path")).alias("key"), rule.alias("rule"))
+    after = F.concat(F.col("key"), F.unhex(F.lit("FF")))  # no key has such a byte
+    ends = F.array(F.struct(F.col("key").alias("at"), F.lit(1).alias("step")), F.struct(after.alias("at"), F.lit(-1).alias("step")))
+    swept = Window.partitionBy("suffix").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = rules.withColumn("end", F.explode(ends)).select("suffix", "key", "rule", "end.*").withColumn("height", F.sum("step").over(swept)).filter("step = 1")
+    # a rule at a height asks for the one last opened at the height below
+    asks = F.array(F.struct(F.col("height").alias("level"), F.col("rule").alias("entry")), F.struct((F.col("height") - 1).alias("level"), F.lit(None).cast(rules.schema["rule"].dataType).alias("entry")))
+    stack = Window.partitionBy("suffix", "level").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = opened.withColumn("ask", F.explode(asks)).select("suffix", "key", "rule", "ask.*").withColumn("below", F.last("entry", ignorenulls=True).over(stack)).filter("entry IS NULL")
+    none = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in rules.schema["rule"].dataType.fields))
+    ends = F.array(F.struct(F.col("key").alias("key"), F.col("rule").alias("open")), F.struct(after.alias("key"), F.coalesce("below", none).alias("open")))
+    return below.select("suffix", F.inline(ends))
 
 
 def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
-    """id, host, path, rule and verdict of each page."""
-    spark = pages.sparkSession
-    salts = salts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ends = interval_ends(rules)
-    hosts = rules.select(F.col("host").alias("suffix")).distinct()
-    depths = [r[0] for r in rules.select(F.size(F.split("host", r"\.")).alias("d")).distinct().orderBy("d").limit(64).collect()]
+    """id, host, path, rule and verdict of each page. salts: over how many a host with all rows would be dealt out."""
+    salts = salts or 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    urls = urls.withColumn("salt", F.pmod(F.xxhash64("id", "host", "path"), F.lit(salts)).cast("int"))
     labels = F.split("host", r"\.")
-    suffixes = [F.when(F.size(labels) >= d, F.array_join(F.slice(labels, -d, d), ".")) for d in depths]
-    own = F.lit(None).cast("string")
-    probes = urls.withColumn("suffix", F.explode(F.array_append(F.filter(F.array(*suffixes) if suffixes else F.expr("cast(array() as array<string>)"), lambda s: s.isNotNull()), own)))
-    probes = probes.join(hosts.withColumn("ruled", F.lit(True)), "suffix", "left").filter("ruled OR suffix IS NULL")
-    probes = probes.select("suffix", "salt", F.when(F.col("suffix").isNotNull(), _key(F.col("suffix"), F.col("path"))).alias("key"), F.lit(1).alias("is_url"), F.lit(None).cast(ends.schema["open"].dataType).alias("open"), "id", "host", "path")
-    marks = ends.select("suffix", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "key", F.lit(0).alias("is_url"), "open", F.lit(None).cast(urls.schema["id"].dataType).alias("id"), own.alias("host"), own.alias("path"))
+    depths = rules.agg(F.collect_set(F.size(F.split("host", r"\."))).alias("depths")).scalar()  # a number for each depth of rules' hosts
+    own = F.transform(F.filter("depths", lambda d: d <= F.size(labels)), lambda d: F.array_join(F.slice(labels, -d, d), "."))
+    hosts = rules.select(F.col("host").alias("suffix")).distinct()
+    keys = urls.select("host", "path").distinct().withColumn("depths", depths).select("host", "path", F.explode(own).alias("suffix")).join(hosts, "suffix")
+    share = keys.groupBy("suffix").agg(F.count("*").alias("n"))
+    share = share.select("suffix", F.ceil(F.col("n") * salts / share.agg(F.sum("n")).scalar()).cast("int").alias("salts"))
+    ends = interval_ends(rules)
+    kind = ends.schema["open"].dataType
+    probes = keys.join(share, "suffix").withColumn("salt", F.pmod(F.xxhash64("host", "path"), "salts").cast("int"))
+    probes = probes.select("suffix", "salt", _key(F.col("suffix"), F.col("path")).alias("key"), F.lit(1).alias("is_url"), F.lit(None).cast(kind).alias("open"), "host", "path")
+    marks = ends.join(share, "suffix").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    marks = marks.select("suffix", "salt", "key", F.lit(0).alias("is_url"), "open", *(F.lit(None).cast("string").alias(c) for c in ("host", "path")))
     swept = Window.partitionBy("suffix", "salt").orderBy("key", "is_url").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = reduce(DataFrame.unionByName, [probes, marks]).withColumn("met", F.last("open", ignorenulls=True).over(swept)).filter("is_url = 1")
-    met = met.withColumn("met", F.when(F.col("met.rule").isNotNull(), F.col("met")))
-    best = met.groupBy("id", "host", "path").agg(F.max("met").alias("met"), F.count_if(F.col("suffix").isNull()).cast("int").alias("times"))
-    best = best.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return best.select(F.col("id").alias(id_col), "host", "path", F.col("met.rule").alias("rule"), F.coalesce("met.verdict", F.lit(default)).alias("verdict"))
+    met = probes.unionByName(marks).withColumn("met", F.last("open", ignorenulls=True).over(swept)).filter("is_url = 1 AND met.rule IS NOT NULL")
+    best = met.groupBy("host", "path").agg(F.max("met").alias("met"))
+    return urls.join(best, ["host", "path"], "left").select(F.col("id").alias(id_col), "host", "path", F.col("met.rule").alias("rule"), F.coalesce("met.verdict", F.lit(default)).alias("verdict"))

@@ -97,6 +97,15 @@ def test_url_rules(spark):
     assert url_rules.judge(pages, both).filter("rule = 'com/a' AND verdict = 'allow'").count() == 0
 
 
+def test_url_rules_of_any_depth_and_nesting(spark):
+    deep = [".".join(["x"] * d) for d in range(1, 121)]
+    rules = [("allow" if d % 2 else "block", h, "") for d, h in enumerate(deep, 1)] + [("block" if d % 3 else "allow", "n.org", "/a" * d) for d in range(1, 400)] + [("block", "n.org", f"/b{d}") for d in range(300)]
+    urls = [f"http://{deep[d - 1]}/p" for d in (1, 63, 64, 65, 70, 120)] + [f"http://y.{deep[119]}/", "http://x.x.y/", "http://n.org" + "/a" * 500 + "/", "http://n.org" + "/a" * 200, "http://n.org/b77/c", "http://n.org/b", "http://m.n.org/a/ab"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = sorted(tuple(r) for r in url_rules.judge(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect())
+    assert got == [(i, *judge(u, rules)) for i, u in enumerate(urls)]
+
+
 def test_url_plan_has_no_python(spark, sf_dir):
     plan = queries.op5_url_filter(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoop", plan)
