@@ -7,15 +7,18 @@ characters it stands for: the first folds homoglyphs and drops invisible charact
 span that covers a rewritten character is mapped back to the source. A mapped span that overlaps a plain span of any kind
 is left out: plain spans stay as they are.
 
-Defined results: a NULL text counts as empty and has no spans. Texts are read whole, in time linear in their length. Offsets are
-code points, ends exclusive. Equal rows give equal rows; columns other than id and text are never looked at.
+Defined results: a NULL text counts as empty and has no spans. Texts are read whole, in time linear in their length. The transducers go
+through a long text in overlapping pieces, so their memory has a bound; a disguised identifier of over 4,096 characters may be
+missed there. Offsets are code points, ends exclusive. Equal rows give equal rows; columns other than id and text are never looked at.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +28,11 @@ from roadflow.llm.common import blocks
 from roadflow.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
+#: Characters that the transducers rewrite at once, and how many on both sides a disguised identifier may reach beyond them.
+PIECE, AROUND = 1 << 17, 1 << 12
 
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+# Characters of an email's local part.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -40,12 +46,11 @@ def _emails(text: str) -> list[tuple[int, int]]:
         start, step = at, 64
         while start > done:  # grow the part that is looked at, so that a long word is read once
             low = max(done, start - step)
-            tail = _LOCAL_TAIL.search(text[low:start])
-            begin = low + tail.start() if tail else start
-            if begin > low or begin == start:
-                start = begin
+            left = len(text[low:start].rstrip(_LOCAL))
+            start = low + left
+            if left:
                 break
-            start, step = low, step * 2
+            step *= 2
         end = at
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             out.append((start, m.end()))
@@ -102,7 +107,7 @@ _DIGIT_WORD = "|".join(sorted(DIGIT_WORDS, key=lambda w: (-len(w), w)))
 _DIGIT_RUN = rf"(?<!\w)(?:{_DIGIT_WORD})(?:(?:[ \t]*[-,./][ \t]*|[ \t]+(?:dot|plus)[ \t]+|[ \t]+)(?:{_DIGIT_WORD}|[0-9])(?!\w)){{2,}}"
 # Ends of domains after which a bare ``at`` ... ``dot`` ... is read as an address.
 _ENDINGS = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|eu"
-_BRACKETED = r"[ \t]*[\[({<][ \t]*(?P<sign>at|@|dot|\.)[ \t]*[\])}>][ \t]*"
+_BRACKETED = r"(?<![ \t])[ \t]*[\[({<][ \t]*(?P<sign>at|@|dot|\.)[ \t]*[\])}>][ \t]*"
 _DOT = r"(?:[ \t]+dot[ \t]+|[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*)"
 _WORDED = rf"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}(?:{_ENDINGS})(?!\w))"
 _DOT_WORD = r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])"
@@ -174,22 +179,24 @@ def read_disguises(m: Mapped) -> Mapped:
     return "".join(out), start + s[at:], end + e[at:], new + n[at:]
 
 
-def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind's number, end) in the source of identifiers that only the normalised text shows."""
+def _rewritten(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) in the source of matches in the normalised text that cover a rewritten character."""
     odd = not text.isascii() and _ODD_CHARS.search(text)
     if not odd and not _HINT.search(text):
         return []
     m = fold_homoglyphs(text) if odd else (text, list(range(len(text))), list(range(1, len(text) + 1)), [False] * len(text))
     norm, start, end, new = read_disguises(m)
-    out, i = [], 0
-    for a, kind, b in plain_spans(norm):
-        if any(new[a:b]):
-            x, y = start[a], end[b - 1]
-            while i < len(plain) and plain[i][2] <= x:
-                i += 1
-            if not any(p[0] < y and p[2] > x for p in plain[max(0, i - 4) : i + 4]):
-                out.append((x, kind, y))
-    return out
+    return [(start[a], kind, end[b - 1]) for a, kind, b in plain_spans(norm) if any(new[a:b])]
+
+
+def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, kind's number, end) in the source of identifiers that only the normalised text shows, none of which overlaps a plain one."""
+    found = []
+    for at in range(0, len(text), PIECE):
+        low = max(0, at - AROUND)
+        found += [(x + low, kind, y + low) for x, kind, y in _rewritten(text[low : at + PIECE + AROUND]) if at <= x + low < at + PIECE]
+    starts, last = [p[0] for p in plain], list(accumulate((p[2] for p in plain), max))
+    return [s for s in found if not (k := bisect_left(starts, s[2])) or last[k - 1] <= s[0]]
 
 
 def _told(spans: list[tuple[int, int, int]]) -> str:
@@ -197,20 +204,23 @@ def _told(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """id, counts of plain matches by kind, plain and all: the spans as ``kind:start:end``, by start and kind."""
+    """id, counts of plain matches and of added ones by kind, plain and all: the spans as ``kind:start:end``, by start and kind."""
     ship_package(docs.sparkSession)
-    names = [id_col, *(f"n_{k}" for k in KINDS), "plain", "spans"]
+    names = [id_col, *(f"n_{k}" for k in KINDS), "plain", "spans", *(f"n_added_{k}" for k in KINDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
-            counts, base, every = [[] for _ in KINDS], [], []
+        for block in blocks(batches, 1):
+            counts, base, every, more = [[] for _ in KINDS], [], [], [[] for _ in KINDS]
             for text in block.column(1).to_pylist():
                 plain = plain_spans(text or "")
-                for k, c in enumerate(counts):
-                    c.append(sum(x[1] == k for x in plain))
+                added = disguised_spans(text or "", plain)
+                for own, spans in ((counts, plain), (more, added)):
+                    for k, c in enumerate(own):
+                        c.append(sum(x[1] == k for x in spans))
                 base.append(_told(plain))
-                every.append(_told(sorted(plain + disguised_spans(text or "", plain))))
-            yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(every, pa.string())], names)
+                every.append(_told(sorted(plain + added)))
+            numbers = lambda own: [pa.array(c, pa.int64()) for c in own]
+            yield pa.RecordBatch.from_arrays([block.column(0), *numbers(counts), pa.array(base, pa.string()), pa.array(every, pa.string()), *numbers(more)], names)
 
     schema = docs.select(id_col).schema
     for n in names[1:]:

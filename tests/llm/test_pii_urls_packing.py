@@ -61,6 +61,56 @@ def test_prose_is_left_alone(text):
     assert pii.disguised_spans(text, pii.plain_spans(text)) == []
 
 
+def planted(rng, words):
+    """A text with disguised identifiers in prose, and their spans."""
+    digits = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    pick = lambda: str(rng.choice(words))
+    alike = {"a": "\u0430", "e": "\u0435", "o": "\u043e", "c": "\u0441", "p": "\u0440"}
+    text, spans = "", []
+    for _ in range(int(rng.integers(1, 6))):
+        text += " ".join(pick() for _ in range(int(rng.integers(3, 12)))) + " "
+        user, host, number = pick(), pick(), [str(d) for d in rng.integers(0, 10, 11)]
+        kind, hidden = [
+            ("email", f"{user} (at) {host} (dot) com"), ("email", f"{user}[at]{host}[dot]org"), ("email", f"{user} at {host} dot net"), ("email", f"{user}.x@{host}.com".replace("e", alike["e"]).replace("a", alike["a"]) + "\u200b.org"),
+            ("phone", "plus four nine " + " ".join(digits[int(d)] for d in number)), ("phone", "plus 49 " + "".join(number[:9])), ("ip", "one two seven dot zero dot zero dot " + digits[int(rng.integers(1, 10))]),
+            ("ip", "10\u2024" + "\u2024".join(str(int(x)) for x in rng.integers(0, 256, 3))),
+        ][int(rng.integers(8))]
+        spans.append((kind, len(text), len(text) + len(hidden)))
+        text += hidden + ", "
+    return text, spans
+
+
+def test_recall_and_precision_of_added_spans():
+    rng = np.random.default_rng(5)
+    words = ["table", "green", "house", "walked", "sing", "paper", "lamp", "river", "stone", "market", "cheap", "garden"]
+    wanted = found = right = 0
+    for _ in range(300):
+        text, spans = planted(rng, words)
+        plain = pii.plain_spans(text)
+        got = [(pii.KINDS[k], a, b) for a, k, b in pii.disguised_spans(text, plain)]
+        wanted, found = wanted + len(spans), found + len(got)
+        right += sum(any(k == kind and x < b and y > a for k, x, y in got) for kind, a, b in spans)
+    assert right / wanted >= 0.95 and right / found >= 0.95, (right, wanted, found)
+
+
+def test_long_texts_in_linear_time_and_pieces():
+    import time
+
+    took = []
+    for n in (40_000, 80_000):
+        hard = ["a" * n + " " + "b" * n + "@x.org", " " * n, "(" * n, "+1" + "(" * n, "1." * n, "a@" * n, "plus " * n, "one " * n, " dot " * n]
+        began = time.perf_counter()
+        for text in hard:
+            pii.disguised_spans(text, pii.plain_spans(text))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 4 * took[0] + 1
+    hidden = "jane (at) example (dot) com"
+    text = ("filler words here. " * 6898)[: pii.PIECE - 10] + " " + hidden + " " + "x " * 200_000 + hidden
+    assert [text[a:b] for a, _, b in pii.disguised_spans(text, [])] == [hidden, hidden]
+    many = [(2 * i, 1, 2 * i + 1) for i in range(100)]
+    assert pii.disguised_spans(hidden, sorted([(0, 0, 50), *many])) == []
+
+
 def test_find(spark):
     texts = [None, "", "a@b.c and +1 (017) 555-7713", "9" * 200_000, "a" * 200_000 + "@x.y", "x [at] y [dot] com a@b.c", "a@b.c and +1 (017) 555-7713"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
