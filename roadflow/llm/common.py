@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from roadflow.session import ship_package
 
@@ -103,6 +104,18 @@ def strings_of(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at, at[1:])]
 
 
+def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for any column names, those with dots too; the kernel goes by position."""
+    inside = [f"c{i}" for i in range(len(schema))]
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inside)
+
+    out = df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(named, StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(inside, schema)]))
+    return out.toDF(*schema.names)
+
+
 #: Bits of the filter of wanted rows: a fixed size; when it is full, more rows go through a join than need be.
 FILTER_BITS = 22
 
@@ -128,7 +141,7 @@ def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame,
                 mine = (shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == wanted_bit
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(mine)) for c in batch.columns[:-1]], batch.schema.names[:-1])
 
-        return marked.mapInArrow(run, docs.schema)
+        return map_arrow(marked, run, docs.schema)
 
     return side(0), side(1)
 

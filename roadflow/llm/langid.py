@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, cols
+from roadflow.llm.common import blocks, cols, map_arrow
 from roadflow.session import ship_package
 
 ORDERS = 3
@@ -133,4 +133,4 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, *, keep: list
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(lang, pa.string()), pa.array(share, pa.float64())], [*keep, "lang_pred", "score"])
 
     schema = docs.select(*cols(docs, keep)).schema.add("lang_pred", "string").add("score", "double")
-    return docs.select(*cols(docs, keep), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*cols(docs, keep), F.col("text").alias("__text")), run, schema)

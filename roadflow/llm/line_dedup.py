@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from roadflow.llm.common import blocks, own_names, parted, strings_of, window_hashes
+from roadflow.llm.common import blocks, map_arrow, own_names, parted, strings_of, window_hashes
 from roadflow.session import ship_package, written
 
 RUN = 3
@@ -145,7 +145,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", run: int = RUN, long_words
             extra = [pa.array([d[k] for d in done], pa.int64()) for k in (1, 2)] if counts else []
             yield pa.RecordBatch.from_arrays([*column, *extra], [f.name for f in fields])
 
-    cut = joined.mapInArrow(apply, StructType(fields))
+    cut = map_arrow(joined, apply, StructType(fields))
     if counts:  # rows without repeats pass by without a second kernel
         blank = F.lit(_BLANK.decode())
         n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.btrim(line, blank) != "")).cast("long")

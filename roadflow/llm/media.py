@@ -2,7 +2,9 @@
 
 A text's UTF-8 bytes are padded with blanks to a positive multiple of 192 and become the rows of a grey image, 192 samples wide. A
 payload of more rows than an image may have fills several images; the stored form is their RIFF files back to back. Reading decodes
-the stored bytes again; every figure but the text's own size is computed from what was read.
+the stored bytes again; every figure but the text's own size is computed from what was read. The writer measures: of the sets of tools that the
+samples speak for (palette, predictors, none) it keeps the smallest, with back-references wherever eight bytes came before, and with codes of the
+image's own wherever these outweigh their description. One rule for texts of every size.
 
 Defined results: NULL counts as an empty text (192 blanks). Texts of any length are stored whole; memory follows one image at a
 time (16,384 rows). Equal texts give equal values. Stored bytes that are no such image raise ``webp.BadImage``.
@@ -25,12 +27,8 @@ from roadflow.llm.common import blocks, strings_of
 from roadflow.session import ship_package
 
 WIDTH = 192
-#: Payloads up to this size use the codes below instead of their own, whose description would outweigh the gain.
-OWN_CODES_FROM = 1 << 15
-
-
 def text_codes() -> tuple[bytes, ...]:
-    """Code lengths for text: a rough rank of letters, then ASCII, then all other bytes."""
+    """Code lengths for text, for images that do not gain by codes of their own: a rough rank of letters, then ASCII, then all other bytes; short copies from afar."""
     counts = np.ones(256 + webp.LENGTH_CODES, np.int64)
     counts[128:192] = 40
     counts[32:127] = 60
@@ -38,15 +36,31 @@ def text_codes() -> tuple[bytes, ...]:
     for rank, c in enumerate(b" etnaoihrsdlu"):
         counts[c] = 9000 // (rank + 2)
     counts[195] = 400
-    return webp.one_channel(counts.tobytes())
+    counts[256 + 4 : 256 + 10] = 300
+    distances = np.ones(webp.DISTANCE_CODES, np.int64)
+    distances[12:24] = 60
+    return webp.one_channel(counts.tobytes(), distances.tobytes())
 
 
 def pad(text: bytes) -> bytes:
     return text.ljust(max(WIDTH, -(-len(text) // WIDTH) * WIDTH), b" ")
 
 
-def store(payload: bytes) -> bytes:
-    """The stored form of a payload of whole rows."""
+def _plans(grey: np.ndarray) -> list[dict]:
+    """The sets of tools that may give the smallest image: the plain one, and others where a count of the samples speaks for them."""
+    plans: list[dict] = [{}]
+    counts = np.bincount(grey.ravel(), minlength=256)
+    if np.count_nonzero(counts) <= 16:  # several samples fit a byte
+        plans.append({"palette": True})
+    bits = webp._entropy_bits(counts)
+    for mode, residual in ((1, np.diff(grey, axis=1)), (2, np.diff(grey, axis=0))):
+        if webp._entropy_bits(np.bincount(residual.ravel(), minlength=256)) < 0.9 * bits:
+            plans.append({"predictor": (np.full((-(-grey.shape[0] // 512), -(-grey.shape[1] // 512)), mode), 9)})
+    return plans
+
+
+def store(payload: bytes, told: list[str] | None = None) -> bytes:
+    """The stored form of a payload of whole rows: of the plans for each image the one that takes the fewest bytes. told: gets the tools used."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     out = []
     for at in range(0, len(rows), webp.MOST_SIDE):
@@ -54,7 +68,15 @@ def store(payload: bytes) -> bytes:
         rgba = np.empty((*part.shape, 4), np.uint8)
         rgba[...] = part[..., None]
         rgba[..., 3] = 255
-        out.append(webp.encode(rgba, subtract_green=True, prior=text_codes() if part.size < OWN_CODES_FROM else None))
+        best = None
+        for plan in _plans(part):
+            tools: list[str] = []
+            done = webp.encode(rgba, subtract_green="palette" not in plan, prior=text_codes(), told=tools, **plan)
+            if best is None or len(done) < len(best[0]):
+                best = done, tools
+        out.append(best[0])
+        if told is not None:
+            told += best[1]
     return b"".join(out)
 
 
@@ -94,17 +116,18 @@ def described(stored: bytes) -> dict:
 def stored_texts(docs: DataFrame, *, id_col: str = "doc_id", with_image: bool = False) -> DataFrame:
     """id, n_bytes, the digests and features of what was read back, and (``with_image``) the stored bytes."""
     ship_package(docs.sparkSession)
-    kinds = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    kinds = {"n_bytes": "long", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string", "tools": "string"}
     if with_image:
         kinds["media"] = "binary"
     arrow = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
+        for block in blocks(batches, 1):
             rows = []
             for text in strings_of(block.column(1)):
-                stored = store(pad(text))
-                rows.append({"n_bytes": len(text), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "media": stored} | described(stored))
+                tools: list[str] = []
+                stored = store(pad(text), tools)
+                rows.append({"n_bytes": len(text), "tools": ",".join(sorted(set(tools))), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "media": stored} | described(stored))
             yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array([r[k] for r in rows], arrow[t]) for k, t in kinds.items())], [id_col, *kinds])
 
     schema = docs.select(id_col).schema

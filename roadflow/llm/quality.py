@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, cols, mix, span_hashes
+from roadflow.llm.common import blocks, bytes_of, cols, map_arrow, mix, span_hashes
 from roadflow.session import ship_package
 
 BUCKETS = 1 << 18
@@ -140,4 +140,4 @@ def predict(docs: DataFrame, w: np.ndarray, *, keep: list[str], threshold: float
             yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32), pa.int32())], [*keep, *names])
 
     schema = docs.select(*cols(docs, keep)).schema.add(names[0], "double").add(names[1], "integer")
-    return docs.select(*cols(docs, keep), F.col("text").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*cols(docs, keep), F.col("text").alias("__text")), run, schema)

@@ -11,8 +11,8 @@ input, and the work with its square (see README). This operator therefore finds
    is a partial aggregate; every other place is removed.
 4. The removed spans are joined with their documents' texts; all other documents were finished in the first pass.
 
-No group of equal anchors is ever gathered beyond one entry for each block of text, and a window's places meet only in aggregates
-and joins.
+No group of equal anchors is ever gathered beyond one entry for each block of text; a bucket that is too large all the same is thinned out
+in parts, to one entry for each anchor of a part. A window's places meet only in aggregates and joins.
 
 Defined results: NULL texts have no words. Places are ordered by id (NULL last), then start; rows that share an id do not remove
 each other's windows at the same start. Windows are judged on the input. Texts shorter than a window keep all words. An empty
@@ -28,14 +28,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from roadflow.llm.common import blocks, bytes_of, mix, parted, powers, span_hashes, window_hashes, word_spans
+from roadflow.operators.trajectories import numbered
 from roadflow.session import ship_package, written
 
 WINDOW = 20
 GRAM = 8
 #: Anchors that a bucket is meant to hold; the number of buckets follows the input's size.
 BUCKET_ROWS = 200_000
+#: Bytes of a bucket's entries that a task gathers; a larger bucket goes in parts.
+MOST_IN_BUCKET = 1 << 26
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[32, 9, 10, 11, 12, 13]] = False
 _GRAM_BASE, _W1, _W2, _SPAN = 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x8EBC6AF09C88C6E3
@@ -156,17 +160,52 @@ def _window_rows(b: _Block, place: np.ndarray, e: np.ndarray, window: int) -> It
 
 
 _REPLY = "id long, th long, s int, m int, several boolean"
+_REPLY_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+
+
+def _entries(found: pa.Table) -> np.ndarray:
+    raw = [np.frombuffer(x, np.uint8).reshape(_ENTRY.itemsize, -1).T for x in found.column("blob").to_pylist()]
+    return np.ascontiguousarray(np.concatenate(raw)).reshape(-1).view(_ENTRY) if raw else np.zeros(0, _ENTRY)
+
+
+def _told(e: np.ndarray, several: np.ndarray) -> list[pa.Array]:
+    return [_ids(e["id"]), pa.array(e["th"]), pa.array(e["s"]), pa.array(e["m"].astype(np.int32)), pa.array(several)]
 
 
 def _meet(found: pa.Table) -> pa.Table:
     """One bucket's entries: spans to remove, and those whose windows are to be looked at one by one."""
-    raw = [np.frombuffer(x, np.uint8).reshape(_ENTRY.itemsize, -1).T for x in found.column("blob").to_pylist()]
-    e = np.ascontiguousarray(np.concatenate(raw)).reshape(-1).view(_ENTRY) if raw else np.zeros(0, _ENTRY)
-    e, later, several = settle(e)
+    e, later, several = settle(_entries(found))
     told = (later | several) & (e["many"] == 0)
     several &= ~later  # an equal span stands earlier, so its windows do
-    e = e[told]
-    return pa.table([_ids(e["id"]), pa.array(e["th"]), pa.array(e["s"]), pa.array(e["m"].astype(np.int32)), pa.array(several[told])], ["id", "th", "s", "m", "several"])
+    return pa.table(_told(e[told], several[told]), ["id", "th", "s", "m", "several"])
+
+
+def _thin(found: pa.Table) -> pa.Table:
+    """A part of a bucket that is too large: what is settled within the part, and a blob with one entry for each anchor of it."""
+    bucket = found.column("bucket")[0].as_py()
+    e, later, several = settle(_entries(found))
+    told = (later | several) & (e["many"] == 0)
+    rows = [*_told(e[told], (several & ~later)[told]), pa.nulls(int(told.sum()), pa.int32()), pa.nulls(int(told.sum()), pa.binary())]
+    e["many"] |= several
+    one = e[np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]]))] if len(e) else e
+    blob = np.ascontiguousarray(one.view(np.uint8).reshape(len(one), -1).T).tobytes()
+    left = [*(pa.nulls(1, t) for t in _REPLY_TYPES), pa.array([bucket], pa.int32()), pa.array([blob], pa.binary())]
+    names = ["id", "th", "s", "m", "several", "bucket", "blob"]
+    return pa.concat_tables([pa.table(rows, names), pa.table(left, names)])
+
+
+def _met(blobs: DataFrame, most: int) -> DataFrame:
+    """What all buckets settle. A bucket of over ``most`` bytes, whose anchors many blocks share, is dealt out in parts first, which leave one entry for each anchor."""
+    sizes = written(blobs.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("n")).filter(F.col("n") > most), "large")
+    if sizes.isEmpty():
+        return written(blobs.groupBy("bucket").applyInArrow(_meet, _REPLY), "told")
+    marked = blobs.join(sizes, "bucket", "left")
+    part = F.pmod(F.xxhash64("blob"), F.ceil(F.col("n") / most)).cast("int")
+    thin = marked.filter("n IS NOT NULL").withColumn("part", part).groupBy("bucket", "part").applyInArrow(_thin, _REPLY + ", bucket int, blob binary")
+    thin = written(thin, "thin")
+    rest = marked.filter("n IS NULL").select("bucket", "blob").unionByName(thin.filter("blob IS NOT NULL").select("bucket", "blob"))
+    told = rest.groupBy("bucket").applyInArrow(_meet, _REPLY)
+    return written(told.unionByName(thin.filter("blob IS NULL").drop("bucket", "blob")), "told")
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
@@ -217,17 +256,29 @@ def _apply(window: int):
     return run
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", window: int = WINDOW, buckets: int | None = None) -> DataFrame:
-    """id, n_words, n_removed and kept_sha256 (of the kept words, joined by blanks) of each row. Ids are longs."""
+def _input_bytes(docs: DataFrame) -> int:
+    """From the files' sizes, without a scan; a source that can't tell is added up."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", window: int = WINDOW, buckets: int | None = None, most_in_bucket: int = MOST_IN_BUCKET) -> DataFrame:
+    """id, n_words, n_removed and kept_sha256 (of the kept words, joined by blanks) of each row. Ids of other types than whole numbers are numbered in their order."""
     spark = docs.sparkSession
     ship_package(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64("text").alias("th"), "text")
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        place, own = "__place", docs.select(F.col(id_col).alias("__own"), "text")
+        places = numbered(own.select("__own").filter("__own IS NOT NULL").distinct(), ("__own",), place)
+        out = dedup(own.join(places, "__own", "left").select(place, "text"), id_col=place, window=window, buckets=buckets, most_in_bucket=most_in_bucket)
+        return out.join(places, place, "left").select(F.col("__own").alias(id_col), "n_words", "n_removed", "kept_sha256")
+    number = F.col(id_col).cast("long")
+    number = F.when(number == int(_LAST), F.raise_error(F.lit("the largest long is no id"))).otherwise(number)
+    docs = docs.select(number.alias("id"), F.xxhash64("text").alias("th"), "text")
     if buckets is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # from the files' sizes, without a scan
-        buckets = min(1 << 30, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // 4 // BUCKET_ROWS))
+        buckets = min(1 << 30, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), _input_bytes(docs) // 4 // BUCKET_ROWS))
     scan = written(docs.mapInArrow(_scan(buckets, window), _PASS), "anchors")
     blobs = scan.filter(F.col("kind") == _BLOB).select("bucket", "blob")
-    told = written(blobs.groupBy("bucket").applyInArrow(_meet, _REPLY), "told")
+    told = _met(blobs, most_in_bucket)
     split = written(_by_document(told.filter("several")), "several")
     hashed = _with_texts(docs.drop("th"), split).mapInArrow(_windows_of(window), _PASS).select("id", "th", "s", "w1", "w2")
     every = written(hashed.unionByName(scan.filter(F.col("kind") == _WINDOW_HASH).select("id", "th", "s", "w1", "w2")), "windows")

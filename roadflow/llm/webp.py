@@ -53,7 +53,7 @@ class _Code:
     """A prefix code as a table over its longest length: symbol * 16 + length; a code of one symbol takes no bits."""
 
     def __init__(self, lengths: np.ndarray) -> None:
-        self._windows = None
+        self._windows, self.seen = None, False
         used = np.flatnonzero(lengths)
         if len(used) <= 1:
             self.bits, self.table = 0, np.array([(int(used[0]) if len(used) else 0) << 4], np.int32)
@@ -145,6 +145,8 @@ def _read_group(bits: _Bits, alphabets: tuple[int, ...]) -> list[_Code]:
     for sizes, n, head, codes in _known:
         if sizes == alphabets and (int.from_bytes(bits.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7)) & ((1 << n) - 1) == head:
             bits.pos = p + n
+            for c in codes:
+                c.seen = True
             return codes
     codes = [_read_code(bits, a) for a in alphabets]
     n = bits.pos - p
@@ -213,6 +215,7 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
 
 
 _CHUNK = 1 << 16  # bytes of the stream whose bit positions are looked up at once
+_WINDOWS_FROM = 1 << 18  # samples from which a code met for the first time is worth a table of all 16-bit windows; others go symbol by symbol
 
 
 def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.ndarray:
@@ -220,7 +223,7 @@ def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np
     fixed = [int(c.table[0]) >> 4 if not c.bits else None for c in rest]
     if not green.bits and None not in fixed and int(green.table[0]) >> 4 < 256:
         return np.full(total, fixed[0] << 16 | int(green.table[0]) >> 4 << 8 | fixed[1] | fixed[2] << 24, np.uint32)
-    if None not in fixed:
+    if None not in fixed and (green.seen or total >= _WINDOWS_FROM):
         return _read_one_channel(bits, green, distance, fixed[0] << 16 | fixed[1] | fixed[2] << 24, width, total)
     raw = np.frombuffer(bits.data, np.uint8)
     wide = np.ndarray((len(raw) - 7,), "<u8", bits.data, strides=(1,))
@@ -363,6 +366,8 @@ def _predicted(mode: int, left, top, top_left, top_right) -> list[int]:
 def predict(rgba: np.ndarray, modes: np.ndarray, tile: int, inverse: bool) -> np.ndarray:
     """The predictor transform: residuals of pixels, or (inverse) pixels of residuals."""
     height, width = rgba.shape[:2]
+    if not (modes - modes[0, 0]).any() and int(modes[0, 0]) in _BY_ROW:
+        return _predict_rows(rgba, int(modes[0, 0]), inverse)
     given = rgba.reshape(-1, 4).tolist()
     done: list[list[int]] = []
     pixels = done if inverse else given
@@ -378,6 +383,44 @@ def predict(rgba: np.ndarray, modes: np.ndarray, tile: int, inverse: bool) -> np
     return np.array(done, np.uint8).reshape(height, width, 4)
 
 
+#: Modes that look at the left alone or at the row above alone: a row at a time.
+_BY_ROW = (1, 2, 3, 4)
+
+
+def _predict_rows(rgba: np.ndarray, mode: int, inverse: bool) -> np.ndarray:
+    height, width = rgba.shape[:2]
+    pixels = np.zeros_like(rgba) if inverse else rgba
+    out = np.zeros_like(rgba)
+    for y in range(height):
+        guess = np.zeros((width, 4), np.uint8)
+        if y and mode > 1:
+            above = pixels[y - 1]
+            if mode == 3:  # right of the last pixel of the row above comes the first of this row
+                guess[1:-1] = above[2:]
+            else:
+                guess[1:] = above[1:] if mode == 2 else above[:-1]
+            guess[0] = above[0]
+        else:
+            guess[0] = pixels[y - 1, 0] if y else (0, 0, 0, 255)
+        if y == 0 or mode == 1:  # by the left: sums of residuals
+            if inverse:
+                row = rgba[y].copy()
+                row[0] += guess[0]
+                pixels[y] = np.cumsum(row, axis=0, dtype=np.uint8)
+            else:
+                out[y, 0] = rgba[y, 0] - guess[0]
+                out[y, 1:] = rgba[y, 1:] - rgba[y, :-1]
+        elif inverse:
+            pixels[y] = rgba[y] + guess
+            if mode == 3 and width > 1:
+                pixels[y, -1] = rgba[y, -1] + pixels[y, 0]
+        else:
+            if mode == 3 and width > 1:
+                guess[-1] = rgba[y, 0]
+            out[y] = rgba[y] - guess
+    return pixels if inverse else out
+
+
 def cross_colour(rgba: np.ndarray, factors: np.ndarray, tile: int, inverse: bool) -> np.ndarray:
     """factors: for each tile green to red, green to blue, red to blue, as signed eighths of 4."""
     height, width = rgba.shape[:2]
@@ -444,7 +487,7 @@ def decode(data: bytes) -> np.ndarray:
 # ------------------------------------------------------------------ encoding
 
 MOST_CODE_BITS = 12
-MOST_COPY = 256  # a copy's code, extra bits and distance then fit a word
+MOST_COPY = 4096  # the format's longest; a copy's codes and extra bits fit 64 bits
 
 
 def code_lengths(counts: np.ndarray, most: int) -> np.ndarray:
@@ -545,12 +588,52 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
 
 
-def _runs(argb: np.ndarray, least: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Where a colour repeats the one before at least ``least`` times in a row: start and length of the repeats."""
-    same = np.concatenate([[False], argb[1:] == argb[:-1], [False]])
-    edge = np.flatnonzero(same[1:] != same[:-1]) + 1
-    start, length = edge[0::2], edge[1::2] - edge[0::2]
-    return start[length >= least], length[length >= least]
+#: Pixels of which equal ones before are looked for, and so the shortest copy.
+LEAST_COPY = 8
+
+
+def _copies(argb: np.ndarray, least: int = LEAST_COPY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of back-references: each window of ``least`` pixels is chained to the last equal one before it by its hash;
+    neighbouring windows at one distance are one longer match; the first match in a row wins.
+    """
+    n = len(argb) - least + 1
+    none = (np.zeros(0, np.int64),) * 3
+    if n < 2:
+        return none
+    h = argb[:n].astype(np.uint64)
+    for k in range(1, least):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + argb[k : k + n]
+    order = np.argsort(h, kind="stable")
+    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    if not len(same):
+        return none
+    back = np.zeros(n, np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    edge = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1], [True]]))
+    first, last = edge[:-1], edge[1:]
+    some = back[first] > 0
+    out, done = [], 0
+    for s, e in zip(first[some].tolist(), last[some].tolist()):
+        s, far = max(s, done), int(back[e - 1])
+        length = e - 1 + least - s
+        if length >= least and (argb[s : s + length] == argb[s - far : s - far + length]).all():  # equal hashes are no proof
+            out.append((s, length, far))
+            done = s + length
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+@lru_cache(8)
+def _near_codes(width: int) -> dict[int, int]:
+    """Distance codes of near pixels, by distance."""
+    out: dict[int, int] = {}
+    for k, (x, y) in enumerate(NEAR, 1):
+        out.setdefault(max(1, x + y * width), k)
+    return out
+
+
+def _distance_codes(far: np.ndarray, width: int) -> np.ndarray:
+    near = _near_codes(width)
+    return np.array([near.get(d, d + len(NEAR)) for d in far.tolist()], np.int64)
 
 
 @lru_cache(16)
@@ -562,19 +645,24 @@ def group_header(lengths: tuple[bytes, ...]) -> tuple[int, int, list[tuple[np.nd
 
 
 @lru_cache(4)
-def one_channel(counts: bytes) -> tuple[bytes, ...]:
-    """Code lengths for images in which only green varies, from int64 counts of all its 280 symbols; each gets a code."""
+def one_channel(counts: bytes, distances: bytes) -> tuple[bytes, ...]:
+    """Code lengths for images in which only green varies, from int64 counts of all its 280 symbols and of the 40 distances; each gets a code."""
     single = [np.zeros(256, np.int32) for _ in range(3)]
     for x, value in zip(single, (0, 0, 255)):
         x[value] = 1
-    green = code_lengths(np.maximum(np.frombuffer(counts, np.int64), 1), MOST_CODE_BITS)
-    return tuple(x.tobytes() for x in (green, *single, np.array([0, 1], np.int32)))
+    green, distance = (code_lengths(np.maximum(np.frombuffer(c, np.int64), 1), MOST_CODE_BITS) for c in (counts, distances))
+    return tuple(x.tobytes() for x in (green, *single, distance))
+
+
+def _entropy_bits(counts: np.ndarray) -> float:
+    used = counts[counts > 0].astype(float)
+    return float((used * np.log2(used.sum() / used)).sum()) if len(used) > 1 else 0.0
 
 
-def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, prior: tuple[bytes, ...] | None = None) -> np.ndarray | None:
-    """Writes an image; the main one's symbols come back as 32-bit words that start at the writer's end."""
+def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, prior: tuple[bytes, ...] | None = None, across: int = 1, told: list[str] | None = None) -> np.ndarray | None:
+    """Writes an image; the main one's symbols come back as 32-bit words that start at the writer's end. prior: codes that are used if the image's own take more bits. told: gets the tools used."""
     n = len(argb)
-    start, length = _runs(argb) if main else (np.zeros(0, np.int64),) * 2
+    start, length, far = _copies(argb) if main else (np.zeros(0, np.int64),) * 3
     pieces = -(-length // MOST_COPY)
     first = np.repeat(start, pieces) + MOST_COPY * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     size = np.minimum(MOST_COPY, np.repeat(start + length, pieces) - first)
@@ -603,19 +691,28 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     if main:
         w.put(0, 1)  # one group of codes
     prefix, extra_bits, extra = _prefix(size)
+    d_prefix, d_bits, d_extra = _prefix(_distance_codes(np.repeat(far, pieces), across))
     alphabet = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
-    channels = [((argb[literal] >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)] if prior is None else []
-    if prior is None:
-        counts = [np.bincount(np.concatenate([green, 256 + prefix]), minlength=alphabet), *(np.bincount(c[~hit], minlength=256) for c in channels)]
-        # one pixel back is the second near distance; alone it takes no bits
-        lengths = [*(code_lengths(c, MOST_CODE_BITS) for c in counts), np.array([0, 1] if len(size) else [1, 0], np.int32)]
-        head, bits, codes = group_header(tuple(x.tobytes() for x in lengths))
-    else:
-        head, bits, codes = group_header(prior)
+    counts = [np.bincount(np.concatenate([green, 256 + prefix]), minlength=alphabet), np.bincount(d_prefix, minlength=DISTANCE_CODES)]
+    channels: list[np.ndarray] = []
+    given = None
+    if prior is not None:
+        # all that counts is green and distance; the own codes' description takes some five bits a symbol
+        bits = sum(int(c @ np.frombuffer(x, np.int32)) for c, x in zip(counts, (prior[0], prior[4])))
+        if bits <= sum(map(_entropy_bits, counts)) + 5 * sum(int((c > 0).sum()) for c in counts) + 60:
+            given = prior
+    if given is None:
+        channels = [((argb[literal] >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)]
+        of_channels = [np.bincount(c[~hit], minlength=256) for c in channels]
+        given = tuple(code_lengths(c, MOST_CODE_BITS).tobytes() for c in (counts[0], *of_channels, counts[1] if len(size) else np.eye(1, DISTANCE_CODES, dtype=np.int64)[0]))
+    if told is not None:
+        told += ["copies"] * bool(len(size)) + ["cache"] * bool(hit.any()) + ["own codes" if channels else "shared codes"]
+    head, bits, codes = group_header(given)
     w.put(head, bits)
+    others, (d_codes, d_sizes) = codes[1:4], codes[4]
     codes, sizes = codes[0]
     value, width = codes[green], sizes[green]
-    for channel, (c, s) in zip(channels, group_header(tuple(x.tobytes() for x in lengths))[2][1:] if channels else []):
+    for channel, (c, s) in zip(channels, others):
         value |= np.where(hit, np.uint64(0), c[channel] << width.astype(np.uint64))
         width = width + np.where(hit, 0, s[channel])
     own = sizes[256 + prefix]
@@ -623,10 +720,12 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
         for v, b in zip(value.tolist(), width.tolist()):
             w.put(v, b)
         return None
-    copy = codes[256 + prefix] | extra.astype(np.uint64) << own.astype(np.uint64)
+    copy, own = codes[256 + prefix] | extra.astype(np.uint64) << own.astype(np.uint64), own + extra_bits
+    copy, own = copy | d_codes[d_prefix] << own.astype(np.uint64), own + d_sizes[d_prefix]
+    copy, own = copy | d_extra.astype(np.uint64) << own.astype(np.uint64), own + d_bits
     order = np.argsort(np.concatenate([literal, first]), kind="stable") if len(first) else slice(None)
     if len(first):
-        value, width = np.concatenate([value, copy])[order], np.concatenate([width, own + extra_bits])[order]
+        value, width = np.concatenate([value, copy])[order], np.concatenate([width, own])[order]
     at = w.n + np.concatenate([[0], np.cumsum(width)])
     out = np.zeros((int(at[-1]) >> 5) + 3, np.uint64)
     for part in range(0, 24 * -(-int(width.max(initial=1)) // 24), 24):  # at most 24 bits at a time, so that a field and its shift fit 64 bits
@@ -645,10 +744,10 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     return out.astype("<u4")
 
 
-def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, prior: tuple[bytes, ...] | None = None) -> bytes:
+def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, prior: tuple[bytes, ...] | None = None, told: list[str] | None = None) -> bytes:
     """rgba as lossless WebP. predictor: modes by tile and the tile's bits (2 to 9); cross: factors by tile and the tile's bits.
 
-    prior: code lengths to use instead of the image's own, see ``one_channel``; only for images that vary in green alone.
+    prior: code lengths to use where the image's own would take more bits, see ``one_channel``; only for images that vary in green alone.
     """
     height, width = rgba.shape[:2]
     if not (0 < height <= MOST_SIDE and 0 < width <= MOST_SIDE):
@@ -695,7 +794,9 @@ def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None,
         rgba[..., 0] -= rgba[..., 1]
         rgba[..., 2] -= rgba[..., 1]
     w.put(0, 1)
-    words = _write_image(w, _join(rgba).ravel(), True, cache_bits, prior)
+    if told is not None:
+        told += [name for name, used in (("palette", palette), ("predictor", predictor is not None), ("cross-colour", cross is not None), ("subtract-green", subtract_green)) if used]
+    words = _write_image(w, _join(rgba).ravel(), True, cache_bits, prior, rgba.shape[1], told)
     body = words.tobytes()[: (w.n + 7) // 8]
     body += bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body

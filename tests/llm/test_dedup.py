@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from roadflow.llm import components, decontaminate, line_dedup, simhash, substring_dedup
@@ -35,8 +36,8 @@ def frame(spark, docs):
     return spark.createDataFrame(docs, "doc_id long, text string, n_words long").repartition(5)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_substring_dedup(spark, seed):
+@pytest.mark.parametrize("seed,most", [(1, substring_dedup.MOST_IN_BUCKET), (2, 300), (3, 300)])
+def test_substring_dedup(spark, seed, most):
     docs = corpus(seed)
     seen, expected = set(), {}
     for i, text, _ in sorted(docs):
@@ -49,7 +50,7 @@ def test_substring_dedup(spark, seed):
             seen.add(k)
         kept = [x for x, c in zip(w, covered) if not c]
         expected[i] = (len(w), sum(covered), hashlib.sha256(" ".join(kept).encode()).hexdigest())
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(frame(spark, docs), buckets=7).collect()}
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.dedup(frame(spark, docs), buckets=7, most_in_bucket=most).collect()}
     assert got == expected and any(e[1] for e in expected.values())
 
 
@@ -59,6 +60,23 @@ def test_substring_dedup_ties_and_empty(spark):
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in substring_dedup.dedup(frame(spark, docs), buckets=3).collect())
     assert got == [("5", 0), ("5", 0), ("9", 25), ("None", 0), ("None", 25)]
     assert substring_dedup.dedup(frame(spark, docs).limit(0), buckets=3).count() == 0
+    named = spark.createDataFrame([("b", text), ("a", text), (None, text)], "doc_id string, text string")
+    assert sorted((str(r["doc_id"]), r["n_removed"]) for r in substring_dedup.dedup(named).collect()) == [("None", 25), ("a", 0), ("b", 25)]
+
+
+def test_clashing_columns_pass_through(spark):
+    run = "one line here\nand another line\nthen a third line\n"
+    rows = [(i, run + f"tail {i}", 7, "x", 1.5, i) for i in range(3)]
+    names = "doc_id long, text string, __spans int, __id string, th double, `a.b` long"
+    df = spark.createDataFrame(rows, names).withColumns({"__th": F.lit(1), "__bit": F.lit(2), "__row": F.lit(3), "__none": F.lit(4), "n_removed": F.lit(5)})
+    cut = line_dedup.dedup(df, counts=True).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in cut] == [0, 3, 3] and cut[1]["text"] == "tail 1" and cut[2]["a.b"] == 2 and cut[0]["__spans"] == 7
+    assert line_dedup.dedup(df).columns == df.columns
+    same = df.withColumn("text", F.lit("the very same words in every row of it"))
+    kept = simhash.keep_one(same.unionByName(same), shingle=5, exact=True)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [0]
+    items = spark.createDataFrame([("i", "the very same words in every row of it")], "item_id string, text string")
+    assert decontaminate.remove_contaminated(same, items).count() == 0
 
 
 def brute_lines(docs, run=3):

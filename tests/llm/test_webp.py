@@ -31,6 +31,43 @@ def test_every_tool_round_trips(size):
             assert (webp.decode(webp.encode(a, **options)) == a).all(), options
 
 
+@pytest.mark.parametrize("mode", [1, 2, 3, 4])
+@pytest.mark.parametrize("size", [(1, 1), (1, 7), (9, 1), (9, 2), (8, 30)])
+def test_rows_are_predicted_as_pixels_are(mode, size):
+    a = image(*size)
+    modes = np.full((1, 1), mode)
+    mixed = np.array([[mode, 5]])  # an unused tile keeps the slow way
+    slow = webp.predict(a, mixed, 9, False)
+    assert (webp.predict(a, modes, 9, False) == slow).all() and (webp.predict(slow, modes, 9, True) == a).all()
+
+
+def test_copies_are_real_back_references():
+    text = (b"the quick brown fox jumps over the lazy dog, and " * 3 + b"something else; " + b"quick brown fox ") * 4
+    a = np.frombuffer(text, np.uint8).astype(np.uint32) << 8
+    start, length, far = webp._copies(a)
+    assert len(start) and (far > 0).all() and (length >= 8).all() and (start[1:] >= (start + length)[:-1]).all()
+    for s, n, d in zip(start.tolist(), length.tolist(), far.tolist()):
+        assert all(a[i] == a[i - d] for i in range(s, s + n))
+    assert len(media.store(media.pad(text))) < 0.35 * len(text)
+
+
+def test_the_writer_chooses_tools_by_size(spark, sf_dir):
+    texts = ["", "abba" * 300, "".join(map(chr, range(32, 127))) * 60, "the cat sat on the mat and the cat sat on the mat again"]
+    for t in texts:
+        tools = []
+        payload = media.pad(t.encode())
+        stored = media.store(payload, tools)
+        assert payload == b"".join(map(media.payload_of, media.images(stored)))
+        for plan in ({}, {"palette": True}) if len(set(payload)) <= 16 else ({},):
+            rgba = np.repeat(np.frombuffer(payload, np.uint8).reshape(-1, 192)[..., None], 4, 2).copy()
+            rgba[..., 3] = 255
+            assert len(stored) <= len(webp.encode(rgba, subtract_green=not plan, prior=media.text_codes(), **plan))
+    from roadflow.llm import queries
+
+    used = {t for r in queries.op1_webp_media(spark, sf_dir).select("tools").distinct().collect() for t in r["tools"].split(",")}
+    assert used >= {"copies", "shared codes", "own codes", "subtract-green", "palette"}, used
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 9, 16, 17, 200])
 def test_palettes(k):
     colours = rng.integers(0, 256, (k, 4)).astype(np.uint8)
