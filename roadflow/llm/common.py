@@ -120,6 +120,26 @@ def map_arrow(df: DataFrame, run, schema: StructType) -> DataFrame:
 FILTER_BITS = 22
 
 
+def may_be_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key, a long, may be in ``wanted`` (a stored table), by a filter of fixed size: all that are, and few others."""
+    ship_package(df.sparkSession)
+    mask = (1 << FILTER_BITS) - 1
+    found = wanted.select(F.xxhash64(key).bitwiseAND(F.lit(mask)).cast("int").alias("b")).distinct().toArrow().column("b")  # at most 2**FILTER_BITS
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[found.to_numpy()] = True
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    marked = df.withColumn("__bit", F.xxhash64(key).bitwiseAND(F.lit(mask)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _return_memory()
+        for batch in batches:
+            b = np.asarray(batch.column(batch.num_columns - 1), np.int64)
+            mine = pa.array((shared.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1 == 1)
+            yield pa.RecordBatch.from_arrays([c.filter(mine) for c in batch.columns[:-1]], batch.schema.names[:-1])
+
+    return marked.mapInArrow(run, df.schema)
+
+
 def parted(docs: DataFrame, id_col: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of docs that are surely not in ``wanted``, and those that may be. wanted: a stored table of id and th (xxhash64 of text).
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, mix, strings_of
+from roadflow.llm.common import blocks, may_be_in, mix, strings_of
 from roadflow.llm.components import components
 from roadflow.session import ship_package, written
 
@@ -193,9 +193,9 @@ def _pairs(spanning: bool):
 
 
 def _met(rows: DataFrame) -> DataFrame:
-    """Rows (key, uid, n, at, root) of keys with different roots, without repeats."""
+    """Of rows (key, uid, n, at, root), each (key, uid) once, those of keys with different roots."""
     shared = written(rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), "shared")
-    return written(rows.join(shared, "key").distinct(), "met")
+    return written(may_be_in(rows, "key", shared).join(shared, "key"), "met")
 
 
 def _candidates(met: DataFrame, parities: DataFrame, spanning: bool) -> DataFrame:
@@ -220,8 +220,9 @@ def _similar(n: Column, m: Column, shared: Column) -> Column:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose sets are similar. pairs: a stored table."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-    held = written(sets.select("uid", "h").join(nodes, "uid").groupBy("uid").agg(F.first("h").alias("h")), "held")
+    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "nodes")
+    # copies of a set become one before they are sent
+    held = written(may_be_in(sets.select("uid", "h"), "uid", nodes).groupBy("uid").agg(F.first("h").alias("h")), "held")
     joined = pairs.join(held.select(F.col("uid").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("uid").alias("v"), F.col("h").alias("hv")), "v")
     return joined.filter(_similar(F.size("hu"), F.size("hv"), F.size(F.array_intersect("hu", "hv")))).select("u", "v")
 
@@ -230,9 +231,10 @@ def parts(sets: DataFrame) -> DataFrame:
     """(u, v) as ``components`` gives them, of the sets' hashes linked by similarity. sets: of ``shingle_sets``."""
     p, q = LEAST
     prefix = F.expr(f"slice(h, 1, n - cast(ceil({p} * n / {q}) as int) + 1)")
-    rows = sets.filter("n > 0").select("uid", "n", F.posexplode(prefix).alias("at", "key")).withColumn("root", F.col("uid"))
-    met = _met(rows)
-    parities = written(sets.select("uid", "parity").join(met.select("uid").distinct(), "uid").groupBy("uid").agg(F.first("parity").alias("parity")), "parities")
+    # copies of a set become one before they are sent
+    one = written(sets.filter("n > 0").select("uid", "n", prefix.alias("prefix"), "parity").groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "parity"))), "unique")
+    met = _met(one.select("uid", "n", F.posexplode("prefix").alias("at", "key")).withColumn("root", F.col("uid")))
+    parities = one.select("uid", "parity")
     tried = written(_candidates(met, parities, True), "tried")
     links = written(verified(tried, sets), "links")
     roots = components(links).select(F.col("u").alias("uid"), F.col("v").alias("__root"))
