@@ -32,6 +32,8 @@ def oneway(tag: Column) -> Column:
 
 
 _OFFSET = r"(?:[+-]\d{2}:?\d{2}|[zZ])$"
+#: A time of day with an offset from UTC after it.
+OFFSET = r"\d{2}:\d{2}.*" + _OFFSET
 
 
 def parse_time(value: Column, *, timestamp_unit: str | None = None, tz: str | None = None) -> Column:
@@ -49,7 +51,7 @@ def parse_time(value: Column, *, timestamp_unit: str | None = None, tz: str | No
         base = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
         return local(base + F.make_dt_interval(secs=(F.coalesce(exact, micros) / 1_000_000).cast("decimal(18,6)")))
     text = F.trim(value.cast("string"))
-    has_offset = text.rlike(r"\d{2}:\d{2}.*" + _OFFSET)
+    has_offset = text.rlike(OFFSET)
     plain = F.regexp_replace(text, r"\s*" + _OFFSET, "")
     naive = F.when(has_offset, plain).otherwise(text).try_cast("timestamp_ntz")
     mark = F.regexp_extract(text, _OFFSET, 0)

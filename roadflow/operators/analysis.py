@@ -131,10 +131,11 @@ def strong_components(network: Network) -> DataFrame:
 
 @dataclass(frozen=True)
 class Connectivity:
-    """nodes: node_id, component, in_largest. edges: edge_id, in_largest."""
+    """nodes: node_id, component, in_largest. edges: edge_id, in_largest. sizes: how many strong components have each size."""
 
     nodes: DataFrame
     edges: DataFrame
+    sizes: DataFrame
     summary: dict
 
 
@@ -148,14 +149,15 @@ def connectivity_report(network: Network) -> Connectivity:
     for end in "uv":
         edges = edges.join(inside.withColumnsRenamed({"node_id": end, "in_largest": f"__{end}"}), end)
     edges = edges.select("edge_id", (F.col("__u") & F.col("__v")).alias("in_largest"))
-    spread = [r["n"] for r in sizes.orderBy(F.desc("n"), "component").select("n").limit(10_000).collect()]
+    by_size = written(sizes.groupBy(F.col("n").alias("size")).agg(F.count("*").alias("components")), "sizes")
+    spread = {r["size"]: r["components"] for r in by_size.orderBy(F.desc("size")).collect()}  # all sizes differ, so they are fewer than the root of twice the nodes
     total = sizes.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
     weak = weak_components(network).select("component").distinct().count()
     summary = {
         "n_nodes": total["n"] or 0, "n_edges": network.edges.count(), "is_strongly_connected": total["k"] <= 1, "n_strongly_connected_components": total["k"], "strongly_connected_component_sizes": spread,
-        "largest_component_fraction_nodes": spread[0] / total["n"] if spread else None, "is_weakly_connected": weak <= 1, "n_weakly_connected_components": weak,
+        "largest_component_fraction_nodes": next(iter(spread)) / total["n"] if spread else None, "is_weakly_connected": weak <= 1, "n_weakly_connected_components": weak,
     }
-    return Connectivity(nodes, edges, summary)
+    return Connectivity(nodes, edges, by_size, summary)
 
 
 def with_betweenness(network: Network, betweenness: DataFrame, name: str) -> Network:

@@ -15,11 +15,13 @@ from roadflow.functions.parse import oneway, parse_maxspeed
 from roadflow.kernels import geodesy
 from roadflow.kernels.graph import Graph
 from roadflow.kernels.snap import Pieces
+from roadflow.report import Report
 from roadflow.session import ship_package
 
 PIECE_M = 25.0
 #: Edges up to which a network's arrays are broadcast (about 0.5 kB each); beyond it the kernels refuse, and snapping joins instead.
 MOST_EDGES = 2_000_000
+# Names of edge columns of the public result.
 #: Edge columns of our own; a source property of one of these names is kept as <name>_src.
 RESERVED = ("edge_id", "length_m", "geometry", "lon", "lat", "obs_speed_mps", "travel_time_s")
 _CHUNK = 100_000
@@ -53,6 +55,8 @@ class Network:
     nodes: DataFrame
     zone: int
     north: bool
+    #: What was left out; its warnings come after an action.
+    report: Report | None = field(default=None, repr=False)
     _arrays: tuple[Broadcast, dict] | None = field(default=None, repr=False)
 
     # ------------------------------------------------------------ construction
@@ -71,7 +75,9 @@ class Network:
         zone, north = geo.utm_zone_of(metric_epsg)
 
         ends = {k: F.struct(_rounded(F.col("coords")[i]["lon"]).alias("lon"), _rounded(F.col("coords")[i]["lat"]).alias("lat")) for k, i in (("a", F.lit(0)), ("b", F.size("coords") - 1))}
-        r = records.filter(F.size("coords") > 1).withColumns(ends).filter("a <> b")
+        report = Report()
+        r = report.watch(records, n_without_line=(F.col("coords").isNull() | (F.size("coords") < 2), "records are left out: a line has two vertices at least"))
+        r = report.watch(r.filter(F.size("coords") > 1).withColumns(ends), n_loops=(F.col("a") == F.col("b"), "records are left out: they end where they start")).filter("a <> b")
         way = oneway(F.try_element_at("props", F.lit(oneway_attr))) if directed else F.lit(0)
         r = r.withColumn("way", way).withColumn("n_edges", F.when(F.col("way") == 0, 2).otherwise(1)).withColumn("xy", geo.utm_of_points(F.col("coords"), zone, north))
         own = F.try_element_at("props", F.lit(length_attr)).try_cast("double") if length_attr else F.lit(None).cast("double")
@@ -96,13 +102,13 @@ class Network:
             e = e.join(nodes.select(F.col("at").alias(c), F.col("node_id").alias(k)), c)
         e = e.select("edge_id", "u", "v", "length_m", "xy", "lonlat", "reverse_id", F.least("edge_id", F.coalesce("reverse_id", "edge_id")).alias("road_id"), "maxspeed_mps", "props")
         # kept for all that is asked of a network; a lost part is worked out again
-        return cls(e.persist(), nodes.select("node_id", "at.lon", "at.lat").persist(), zone, north)
+        return cls(e.persist(), nodes.select("node_id", "at.lon", "at.lat").persist(), zone, north, report=report)
 
     @classmethod
     def from_geojson(cls, spark: SparkSession, path: str, **options) -> Network:
         from roadflow.sources.networks import read_geojson_lines
 
-        return cls.from_records(read_geojson_lines(spark, path), **options)
+        return cls.from_records(read_geojson_lines(spark, path, by_line=options.pop("by_line", False)), **options)
 
     @classmethod
     def from_overpass_json(cls, spark: SparkSession, path: str, **options) -> Network:
@@ -126,7 +132,7 @@ class Network:
 
     def with_edges(self, edges: DataFrame) -> Network:
         """The same network with other columns on its edges."""
-        return Network(edges, self.nodes, self.zone, self.north, self._arrays)
+        return Network(edges, self.nodes, self.zone, self.north, self.report, self._arrays)
 
     # ------------------------------------------------------------ parts
 

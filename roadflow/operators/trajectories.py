@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadflow.session import written
@@ -120,3 +120,17 @@ def numbered(df: DataFrame, by: tuple[str, ...], name: str, first: int = 0) -> D
         return ranged.withColumn(name, F.lit(None).cast("long")).drop("__part", "__row")
     base = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
     return ranged.withColumn(name, (base[F.col("__part")] + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__part", "__row")
+
+
+#: Numbers of an order column that are counted together.
+_CHUNK = 100_000
+
+
+def dense_number(df: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
+    """df with a dense number in the order of a column of distinct longs, as part of the plan: counts by chunk of the column, and a count within each."""
+    at, n, base = "__chunk", "__n", "__base"
+    chunked = df.withColumn(at, F.floor(F.col(order) / _CHUNK))
+    sums = chunked.groupBy(at).agg(F.count("*").alias(n))
+    sums = sums.withColumn(base, F.sum(n).over(Window.orderBy(at)) - F.col(n)).drop(n)  # a row for each chunk
+    nth = F.row_number().over(Window.partitionBy(at).orderBy(order))
+    return chunked.withColumn(n, nth).join(sums, at).withColumn(name, (F.col(base) + F.col(n) - 1 + first).cast("long")).drop(at, n, base)

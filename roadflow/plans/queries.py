@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from roadflow.functions import geo
 from roadflow.functions.parse import oneway, parse_maxspeed, parse_time
-from roadflow.operators import aggregate, analysis, cleaning, matching, modes, routing, speeds
-from roadflow.plans import adapters
+from roadflow.operators import aggregate, analysis, cleaning, matching, modes
+from roadflow.plans import adapters, network_queries
 from roadflow.sources import export
 
 DIGITS = 6
@@ -144,44 +144,6 @@ def _by_road(net, matched):
     return matched.join(net.edges.select("edge_id", "road_id"), "edge_id", "left").select("point_id", F.coalesce("road_id", F.lit(-1)).cast("long").alias("road_id"), F.round("snap_dist_m", 3).alias("snap_dist_m"))
 
 
-def hmm_edges(spark, sf_dir):
-    net = adapters.network(spark)
-    return matching.hmm_match(net, adapters.fixes(spark, sf_dir)).select("point_id", "traj_id", "edge_id", F.round("snap_dist_m", 3).alias("snap_dist_m"))
-
-
-def derived_speeds(spark, sf_dir):
-    net = adapters.network(spark)
-    return rounded(speeds.derive_speeds(net, matching.hmm_match(net, adapters.fixes(spark, sf_dir)), min_baseline_m=50.0, dealt=True).intervals)
-
-
-def chord_speeds(spark, sf_dir):
-    return rounded(speeds.chord_speeds(adapters.fixes(spark, sf_dir)).select("point_id", "speed_mps"))
-
-
-def without_dwells(spark, sf_dir):
-    f = adapters.fixes(spark, sf_dir).withColumn("speed_mps", F.lit(5.0))
-    return cleaning.filter_trajectory_speed(f, dwell_radius_m=20.0, dwell_min_s=6.0).select("point_id", "traj_id")
-
-
-def betweenness(spark, sf_dir):
-    return rounded(analysis.edge_betweenness_centrality(adapters.network(spark), weight="length_m"))
-
-
-def weak_components(spark, sf_dir):
-    return analysis.weak_components(adapters.network(spark)).groupBy("component").agg(F.count("*").alias("nodes"))
-
-
-def strong_components(spark, sf_dir):
-    return analysis.strong_components(adapters.network(spark)).groupBy("component").agg(F.count("*").alias("nodes"))
-
-
-def routes(spark, sf_dir):
-    net = adapters.network(spark)
-    f = adapters.fixes(spark, sf_dir)
-    trips = f.groupBy(F.col("traj_id").alias("trip_id")).agg(F.min_by("lon", "k").alias("o_lon"), F.min_by("lat", "k").alias("o_lat"), F.max_by("lon", "k").alias("d_lon"), (F.max_by("lat", "k") + 0.003).alias("d_lat"))
-    return rounded(routing.Router(net).route_many(trips, mode="distance").select("trip_id", "distance_m", "n_edges", "n_edges_default"))
-
-
 def road_features(spark, sf_dir):
     net = adapters.network(spark)
     done = net.with_edges(aggregate.assign_speeds(net.edges, adapters.observations(spark, sf_dir)))
@@ -213,10 +175,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         hourly_both, hourly_weekdays, hourly_weighted, edge_hourly, peak_blocks, hour_windows, hour_classes, edge_regimes, edge_speeds_at_hour, day_types, day_type_overall, congestion, congestion_summary,
-        speed_bounds, mad_network, mad_by_edge, movers, mover_classes, vehicles_only, mode_threshold, network_roads, road_degrees, fixes_projected, nearest_edges, nearest_edges_join, hmm_edges, derived_speeds, chord_speeds,
-        without_dwells, betweenness, weak_components, strong_components, routes, road_features, parsed_maxspeed, parsed_oneway, parsed_times,
+        speed_bounds, mad_network, mad_by_edge, movers, mover_classes, vehicles_only, mode_threshold, network_roads, road_degrees, fixes_projected, nearest_edges, nearest_edges_join, road_features, parsed_maxspeed, parsed_oneway, parsed_times,
     )
-}
+} | network_queries.QUERIES
 
 # ------------------------------------------------------------------ DuckDB
 
@@ -243,19 +204,7 @@ _LIMIT = f"CASE maxspeed WHEN '25 mph' THEN 25 * {_MPH} WHEN '35 mph' THEN 35 *
 _LIMITS = f"limits AS (SELECT 2 * road_no + d AS edge_id, {_LIMIT} AS mps FROM roads, (VALUES (0), (1)) AS t(d))"
 
 
-def _utm(lon: str, lat: str) -> tuple[str, str]:
-    """Easting and northing in zone 18 north, as SQL on columns."""
-    from roadflow.kernels import geodesy as g
-
-    lam, s = f"(radians({lon}) - {g.central_meridian(18)!r})", f"sin(radians({lat}))"
-    t = f"sinh(atanh({s}) - {g.E!r} * atanh({g.E!r} * {s}))"
-    x0, y0 = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + pow({t}, 2)))"
-    x = " + ".join([f"({x0})", *(f"{a!r} * sin({2 * j} * {x0}) * cosh({2 * j} * {y0})" for j, a in enumerate(g.FORWARD, 1))])
-    y = " + ".join([f"({y0})", *(f"{a!r} * cos({2 * j} * {x0}) * sinh({2 * j} * {y0})" for j, a in enumerate(g.FORWARD, 1))])
-    k = g.K0 * g.RECTIFYING
-    return f"({k!r} * ({y}) + 500000.0)", f"({k!r} * ({x}))"
-
-
+_utm = network_queries.utm
 _FX, _FY = _utm("lon", "lat")
 _NEAREST = adapters.with_tables("fixes", "roads") + f""",
 f AS (SELECT point_id, {_FX} AS x, {_FY} AS y FROM fixes),
@@ -323,11 +272,13 @@ SELECT round(exp(arg_max(g, prom)) / {_MPH}, 6) AS threshold FROM v WHERE prom >
     "fixes_projected": f"{adapters.with_tables('fixes')} SELECT point_id, round({_FX}, 4) AS x, round({_FY}, 4) AS y FROM fixes",
     "nearest_edges": _NEAREST,
     "nearest_edges_join": _NEAREST,
-    "weak_components": "SELECT 0 AS component, 144 AS nodes",
-    "strong_components": "SELECT 0 AS component, 144 AS nodes",
     "road_features": f"""{_USE}, s AS (SELECT edge_id, median(speed_mps) AS o FROM u GROUP BY edge_id)
 SELECT 2 * r AS edge_id, (2 * r)::VARCHAR || ',' || (2 * r + 1)::VARCHAR AS edge_ids, avg(o) IS NOT NULL AS has_speed, round(avg(o) / {_MPH}, 6) AS speed FROM range(264) AS a(r) LEFT JOIN s ON s.edge_id // 2 = r GROUP BY r""",
     "parsed_maxspeed": f"""SELECT text, round(CASE WHEN v > 0 THEN v * CASE unit WHEN '' THEN {_KPH} WHEN 'km/h' THEN {_KPH} WHEN 'mph' THEN {_MPH} WHEN 'm/s' THEN 1 END END, 6) AS mps
 FROM (SELECT text, TRY_CAST(regexp_extract(lower(trim(text)), '^([0-9]+(?:\\.[0-9]+)?)\\s*([a-z/_]*)$', 1) AS DOUBLE) AS v, regexp_extract(lower(trim(text)), '^([0-9]+(?:\\.[0-9]+)?)\\s*([a-z/_]*)$', 2) AS unit FROM (VALUES {_LIT(_TAGS)}) AS t(text))""",
+    "parsed_times": f"""WITH t AS (SELECT text, TRY_CAST(regexp_extract(replace(text, 'T', ' '), '^[0-9-]+ [0-9:.]+') AS TIMESTAMP) AS ts, regexp_extract(text, '[T ][0-9:.]+([+-])', 1) AS sign, TRY_CAST(regexp_extract(text, '[T ][0-9:.]+[+-]([0-9][0-9]):?[0-9][0-9]$', 1) AS INT) AS h, TRY_CAST(regexp_extract(text, '[T ][0-9:.]+[+-][0-9][0-9]:?([0-9][0-9])$', 1) AS INT) AS m FROM (VALUES {_LIT(_TIMES)}) AS v(text))
+SELECT text, (ts - coalesce(CASE sign WHEN '-' THEN -1 ELSE 1 END * (60 * h + m), 0) * INTERVAL 1 MINUTE - INTERVAL 4 HOUR)::VARCHAR AS local FROM t""",
     "parsed_oneway": f"SELECT text, CASE WHEN lower(trim(text)) IN ('yes','true','1','t') THEN 1 WHEN lower(trim(text)) IN ('-1','reverse') THEN -1 ELSE 0 END AS way FROM (VALUES {_LIT(_ONEWAYS)}) AS t(text)",
 }
+ORACLE_SQL |= network_queries.ORACLE_SQL
+ORACLE_SQL["geojson_network"] = ORACLE_SQL["network_roads"]

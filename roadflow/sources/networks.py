@@ -20,8 +20,11 @@ _FEATURE = "struct<type:string,geometry:struct<type:string,coordinates:string>,p
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """Records in the order of files and of features within them."""
-    return df.withColumn("record_no", F.row_number().over(Window.orderBy("__file", "__nth", "__part")).cast("long") - 1)
+    """Records in the order of files and of features within them: a file's records are counted where they are, files by their sums."""
+    sums = df.groupBy("__file").agg(F.count("*").alias("__n"))
+    sums = sums.withColumn("__base", F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).drop("__n")  # a row for each file
+    within = F.row_number().over(Window.partitionBy("__file").orderBy("__nth", "__part"))
+    return df.withColumn("__at", within).join(sums, "__file").withColumn("record_no", (F.col("__base") + F.col("__at") - 1).cast("long"))
 
 
 def _texts(spark: SparkSession, path: str) -> DataFrame:
@@ -48,8 +51,14 @@ def _to_lonlat(points: Column, crs: str | None) -> Column:
     return F.transform(points, one)
 
 
-def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
-    """LineStrings, and each part of MultiLineStrings, of GeoJSON files; other shapes and lines of one vertex are left out."""
+def read_geojson_lines(spark: SparkSession, path: str, *, by_line: bool = False) -> DataFrame:
+    """LineStrings, and each part of MultiLineStrings, of GeoJSON files; other shapes and lines of one vertex are left out.
+
+    by_line: each line of a file is a feature (lines that are none are passed over), so that tasks share a file; coordinates are WGS84 then.
+    """
+    if by_line:
+        rows = spark.read.text(path).select(F.from_json(F.regexp_replace("value", r",\s*$", ""), _FEATURE).alias("f"), F.input_file_name().alias("__file"), F.monotonically_increasing_id().alias("__nth"))
+        return _lines(rows.filter("f.geometry.type IS NOT NULL").select("__file", "__nth", "f.geometry.type", "f.geometry.coordinates", "f.properties"), None, path)
     texts = _texts(spark, path)
     crs = {geo.geojson_crs(json.loads(r[0])) for r in texts.select(F.to_json(F.struct(F.from_json("value", "struct<crs:struct<properties:struct<name:string>>>")["crs"].alias("crs")))).distinct().collect()}
     if len(crs) > 1:
@@ -58,9 +67,13 @@ def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     f = texts.select("__file", parsed.alias("c"))
     every = F.coalesce(F.col("c.features"), F.array(F.struct(F.col("c.type").alias("type"), F.col("c.geometry").alias("geometry"), F.col("c.properties").alias("properties"))))
     f = f.select("__file", F.posexplode(every).alias("__nth", "f")).select("__file", "__nth", "f.geometry.type", "f.geometry.coordinates", "f.properties")
+    return _lines(f, next(iter(crs), None), path)
+
+
+def _lines(f: DataFrame, crs: str | None, path: str) -> DataFrame:
     lines = F.when(F.col("type") == "LineString", F.array(F.from_json("coordinates", "array<array<double>>"))).when(F.col("type") == "MultiLineString", F.from_json("coordinates", "array<array<array<double>>>"))
     f = f.select("__file", "__nth", F.posexplode(lines).alias("__part", "line"), "properties").filter(F.size("line") > 1)
-    f = f.select("__file", "__nth", "__part", _to_lonlat(F.col("line"), next(iter(crs), None)).alias("coords"), F.coalesce(F.from_json("properties", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("props"))
+    f = f.select("__file", "__nth", "__part", _to_lonlat(F.col("line"), crs).alias("coords"), F.coalesce(F.from_json("properties", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("props"))
     out = _numbered(f).select("record_no", "coords", "props")
     if out.isEmpty():
         raise ValueError(f"no lines in {path}")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import warnings
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.functions.parse import parse_time
+from roadflow.functions.parse import OFFSET, parse_time
 from roadflow.functions.units import SpeedUnit, from_mps, to_mps, unit_of_name
 from roadflow.operators.speeds import chord_speeds
+from roadflow.operators.trajectories import dense_number
+from roadflow.report import Report
 
 # Column names that are recognised, the first of each list first.
 NAMES = {
@@ -22,18 +25,29 @@ NAMES = {
 #: Faster than any road traffic: a sign of a wrong unit.
 IMPLAUSIBLE_MPS = 120.0
 
+_reports: WeakKeyDictionary = WeakKeyDictionary()
+
+
+def report_of(points: DataFrame) -> Report:
+    """What was left out or odd when these fixes were loaded; ``warn()`` says so, after an action on them."""
+    return _reports[points]
+
 
 def detect(columns: list[str], what: str) -> str | None:
     low = {c.lower(): c for c in columns}
     return next((low[n] for n in NAMES[what] if n in low), None)
 
 
-def _read(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
+def _read(spark: SparkSession, path: str, sep: str | None, by_line: bool = False) -> DataFrame:
     """Rows as text columns, with __order: their place in the file."""
     low = path.lower()
     if low.endswith((".geojson", ".json")):
         feature = "struct<geometry:struct<type:string,coordinates:string>,properties:map<string,string>>"
-        f = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("__order", "f")).filter("f.geometry.type = 'Point'")
+        if by_line:
+            f = spark.read.text(path).select(F.monotonically_increasing_id().alias("__order"), F.from_json(F.regexp_replace("value", r",\s*$", ""), feature).alias("f"))
+        else:
+            f = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"struct<features:array<{feature}>>")["features"]).alias("__order", "f"))
+        f = f.filter("f.geometry.type = 'Point'")
         at = F.from_json("f.geometry.coordinates", "array<double>")
         keys = sorted(r[0] for r in f.select(F.explode(F.map_keys("f.properties"))).distinct().collect())
         out = f.select("__order", at[0].alias("lon"), at[1].alias("lat"), *(F.try_element_at("f.properties", F.lit(k)).alias(k if k not in ("lon", "lat") else f"{k}_src") for k in keys))
@@ -45,9 +59,9 @@ def _read(spark: SparkSession, path: str, sep: str | None) -> DataFrame:
 
 
 def load_points(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Fixes of a CSV, TSV or GeoJSON file: see ``points_from`` for the options."""
-    sep = options.pop("sep", None)
-    return points_from(_read(spark, path, sep), order_col="__order", **options)
+    """Fixes of a CSV, TSV or GeoJSON file: see ``points_from`` for the options. by_line: each line of the GeoJSON is a feature, so that tasks share a file."""
+    sep, by_line = options.pop("sep", None), options.pop("by_line", False)
+    return points_from(_read(spark, path, sep, by_line), order_col="__order", **options)
 
 
 def points_from(
@@ -68,9 +82,10 @@ def points_from(
 ) -> DataFrame:
     """point_id, traj_id (if there is an id), lon, lat, time, speed_mps (if there is a speed) and the other columns.
 
-    Rows without an id where one is expected, without position, time or speed, or off the globe are left out. point_id numbers the rest in order
-    (``dense_ids``, a global sort), or keeps the order column's own numbers.
+    Rows without an id where one is expected, without position, time or speed, or off the globe are left out, and counted on the way: ``report_of``
+    tells how many. point_id numbers the rest in order (``dense_ids``), or keeps the order column's own numbers.
     """
+    report = Report()
     columns = [c for c in df.columns if c != order_col]
     lon_col, lat_col = lon_col or detect(columns, "lon"), lat_col or detect(columns, "lat")
     if lon_col is None or lat_col is None:
@@ -103,13 +118,32 @@ def points_from(
         out[f"{c}_src" if c in taken else c] = F.col(f"`{c}`")
     order = F.col(order_col) if order_col else F.monotonically_increasing_id()
     fixes = df.select(order.alias("point_id"), *(c.alias(k) for k, c in out.items()))
+    watched: dict[str, tuple[Column, str]] = {}
+    if timestamp_unit is None:
+        aware = F.trim(F.col(f"`{time_col}`").cast("string")).rlike(OFFSET)
+        fixes = df.select(order.alias("point_id"), *(c.alias(k) for k, c in out.items()), aware.alias("__aware"))
+        if tz is None:
+            watched["n_aware_without_tz"] = (F.col("__aware"), "times have an offset, but there is no tz=: they keep their own clocks")
+        watched["n_naive"] = (~F.col("__aware") & F.lit(tz is not None), f"times have no offset: they count as UTC and are converted to {tz}")
+    if id_col is not None:
+        watched["n_without_id"] = (F.col("traj_id").isNull(), f"rows are left out: no {id_col}")
+    fixes = report.watch(fixes, **watched).drop("__aware")
     if id_col is not None:
         fixes = fixes.filter("traj_id IS NOT NULL")
     if derive_speed:
         fixes = chord_speeds(fixes)
-    fixes = fixes.dropna(subset=["lon", "lat", "time", *(["speed_mps"] if "speed_mps" in fixes.columns else [])]).filter("abs(lat) <= 90 AND abs(lon) <= 180")
+    needed = ["lon", "lat", "time", *(["speed_mps"] if "speed_mps" in fixes.columns else [])]
+    whole = F.lit(True)
+    for c in needed:
+        whole &= F.col(c).isNotNull()
+    off = (F.abs("lat") > 90) | (F.abs("lon") > 180)
+    odd = {f"n_without_{c}": (F.col(c).isNull(), f"rows are left out: no usable {c}") for c in needed} | {"n_off_globe": (whole & off, "rows are left out: a latitude beyond 90 or a longitude beyond 180")}
+    if "speed_mps" in needed:
+        odd["n_implausible"] = (whole & ((F.col("speed_mps") < 0) | (F.col("speed_mps") > IMPLAUSIBLE_MPS)), f"speeds are negative or above {IMPLAUSIBLE_MPS} m/s: is {unit.value} the right unit?")
+    fixes = report.watch(fixes, **odd).filter(whole & ~off)
     if dense_ids:
-        fixes = fixes.withColumn("point_id", F.row_number().over(Window.orderBy("point_id")).cast("long") - 1)
+        fixes = dense_number(fixes.withColumnRenamed("point_id", "__order"), "__order", "point_id").select("point_id", *(c for c in fixes.columns if c != "point_id"))
+    _reports[fixes] = report
     return fixes
 
 
@@ -119,6 +153,11 @@ def suspect_speeds(points: DataFrame) -> DataFrame:
     return points.agg(F.count("*").alias("n"), F.count_if((v < 0) | (v > IMPLAUSIBLE_MPS)).alias("n_implausible"), F.min(v).alias("slowest_mps"), F.max(v).alias("fastest_mps"))
 
 
+def lone_fixes(points: DataFrame) -> DataFrame:
+    """One row: how many trajectories there are, and how many of them have a single fix, from which no speed can be derived."""
+    return points.groupBy("traj_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_trajectories"), F.count_if(F.col("n") == 1).alias("n_lone"))
+
+
 def to_frame(points: DataFrame, *, speed_unit="mph") -> DataFrame:
     """points with ISO times and, if they have speeds, speed in ``speed_unit`` too."""
     out = points.withColumn("time", F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).withColumn("time", F.regexp_replace("time", r"\.000000$", ""))

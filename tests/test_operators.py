@@ -250,7 +250,7 @@ def test_connectivity_and_routes(spark):
     one = {"oneway": "yes"}
     net = network(spark, line((0, 0), (0.001, 0), **one), line((0.001, 0), (0.001, 0.001), **one), line((0.001, 0.001), (0, 0), **one), line((0.001, 0), (0.002, 0), **one), line((0.01, 0.01), (0.011, 0.01)))
     c = analysis.connectivity_report(net)
-    assert c.summary["strongly_connected_component_sizes"] == [3, 2, 1] and c.summary["n_weakly_connected_components"] == 2 and not c.summary["is_strongly_connected"]
+    assert c.summary["strongly_connected_component_sizes"] == {3: 1, 2: 1, 1: 1} and c.summary["n_weakly_connected_components"] == 2 and not c.summary["is_strongly_connected"]
     assert {r["edge_id"] for r in c.edges.filter("NOT in_largest").collect()} == {3, 4, 5}
     r = routing.Router(net)
     found = r.route((0.001, 0.001), (0.001, 0.0))

@@ -67,3 +67,58 @@ def test_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("live").agg(F.sum("n")).first()[0] == obs.filter("edge_id <> -1 AND speed_mps IS NOT NULL").count()
+
+
+def test_what_is_left_out_is_told(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text(
+        "uid,lon,lat,time,speed_mps\na,1,2,2026-06-01T08:00:00Z,10\n,1,2,2026-06-01 08:00:00,1\na,oops,2,2026-06-01 08:00:00,1\na,1,95,2026-06-01 08:00:00,1\na,1,2,later,1\na,1,2,2026-06-01 08:00:05,\na,1,2,2026-06-01 08:00:06,500\nb,1,2,2026-06-01 08:00:07,3\n"
+    )
+    fixes = points.load_points(spark, str(path))
+    assert fixes.count() == 3
+    with pytest.warns(UserWarning) as said:
+        counts = points.report_of(fixes).warn()
+    assert counts == {"n_aware_without_tz": 1, "n_naive": 0, "n_without_id": 1, "n_without_lon": 1, "n_without_lat": 0, "n_without_time": 1, "n_without_speed_mps": 1, "n_off_globe": 1, "n_implausible": 1}
+    assert len(said) == 7 and any("no uid" in str(w.message) for w in said)
+    mixed = points.load_points(spark, str(path), tz="America/New_York")
+    mixed.collect()
+    assert points.report_of(mixed).counts["n_naive"] == 7 and "n_aware_without_tz" not in points.report_of(mixed).counts
+    assert points.lone_fixes(fixes).first().asDict() == {"n_trajectories": 2, "n_lone": 1}
+
+
+def test_network_tells_what_it_leaves_out(spark):
+    at = lambda *p: [{"lon": x, "lat": y} for x, y in p]
+    rows = [(0, at((0.0, 0.0), (0.001, 0.0)), {}), (1, at((0.0, 0.0), (0.001, 0.001), (0.0, 0.0)), {}), (2, at((5.0, 5.0)), {})]
+    from roadflow.operators.network import RECORDS
+
+    net = Network.from_records(spark.createDataFrame(rows, RECORDS))
+    assert net.edges.count() == 2
+    with pytest.warns(UserWarning, match="end where they start"):
+        assert net.report.warn() == {"n_without_line": 1, "n_loops": 1}
+
+
+def test_features_by_line(spark, tmp_path):
+    path = tmp_path / "n.geojson"
+    feature = lambda x: json.dumps({"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[x, 0], [x + 0.001, 0]]}, "properties": {"name": f"r{x}"}})
+    path.write_text('{"type": "FeatureCollection", "features": [\n' + ",\n".join(feature(0.001 * i) for i in range(5)) + "\n]}\n")
+    assert Network.from_geojson(spark, str(path), by_line=True).edges.count() == Network.from_geojson(spark, str(path)).edges.count() == 10
+    fix = lambda i: json.dumps({"type": "Feature", "geometry": {"type": "Point", "coordinates": [i * 0.001, 0]}, "properties": {"id": "m", "time": f"2026-06-01T08:00:{i:02d}"}})
+    path = tmp_path / "p.geojson"
+    path.write_text("\n".join(fix(i) for i in range(7)))
+    assert [r["point_id"] for r in points.load_points(spark, str(path), by_line=True).orderBy("lon").collect()] == list(range(7))
+
+
+def test_commands(spark, sf_dir, tmp_path, capsys):
+    line = lambda r: {"type": "Feature", "geometry": {"type": "LineString", "coordinates": [[p["lon"], p["lat"]] for p in r["coords"]]}, "properties": r["props"]}
+    (tmp_path / "n.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [line(r.asDict(True)) for r in adapters.road_records(spark).orderBy("record_no").collect()]}))
+    adapters.fixes(spark, sf_dir).select("traj_id", "lon", "lat", "time").write.csv(str(tmp_path / "p.csv"), header=True)
+    files = [str(tmp_path / "n.geojson"), str(tmp_path / "p.csv")]
+    study.main(["screen", *files, "--threshold", "5", "--baseline", "50", "--out-movers", str(tmp_path / "movers"), "--out-points", str(tmp_path / "kept")])
+    said = capsys.readouterr().out
+    assert "suggested threshold" in said and "vehicle" in said and spark.read.csv(str(tmp_path / "movers"), header=True).count() > 0
+    study.main(["study", *files, str(tmp_path / "out"), "--choke-points", "3"])
+    for name in ("hourly", "by_edge", "congestion", "peaks", "day_types", "day_type_hours", "choke_points", "structure"):
+        assert spark.read.csv(str(tmp_path / "out" / name), header=True).count() > 0, name
+    tables = study.report_tables(adapters.network(spark), adapters.fixes(spark, sf_dir), top=3)
+    head = tables["headline"].first()
+    assert head["n_fixes"] == 1000 and head["n_edges"] == 528 and tables["slowest"].count() == 3
