@@ -88,20 +88,20 @@ class _Code:
         return entry >> 4
 
 
+_MOST_BITS = 15
+_REVERSED = sum(((np.arange(1 << _MOST_BITS) >> k & 1) << (_MOST_BITS - 1 - k) for k in range(_MOST_BITS)), np.zeros(1 << _MOST_BITS, np.int64))
+
+
 def canonical(lengths: np.ndarray) -> list[tuple[int, int, int]]:
     """(symbol, length, code with its first bit lowest) of all used symbols; raises if the code is over-full."""
     used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")].tolist()
-    out, code, last = [], 0, 0
-    for s in order:
-        n = int(lengths[s])
-        code <<= n - last
-        last = n
-        if code >> n:
-            raise BadImage("a prefix code is over-full")
-        out.append((s, n, int(f"{code:0{n}b}"[::-1], 2)))
-        code += 1
-    return out
+    order = used[np.argsort(lengths[used], kind="stable")]
+    n = lengths[order].astype(np.int64)
+    # a code is the share of all 15-bit numbers that the codes before it begin
+    ends = np.cumsum(1 << (_MOST_BITS - n))
+    if len(ends) and ends[-1] > 1 << _MOST_BITS:
+        raise BadImage("a prefix code is over-full")
+    return list(zip(order.tolist(), n.tolist(), _REVERSED[ends - (1 << (_MOST_BITS - n))].tolist()))
 
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
@@ -544,19 +544,22 @@ def _write_code(w: _Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
             codes[used[1]] = 1
             sizes[used] = 1
         return codes, sizes
-    tokens, i, all_lengths = [], 0, lengths.tolist()
-    while i < len(all_lengths):
-        j = i
-        while not all_lengths[i] and j < len(all_lengths) and not all_lengths[j] and j - i < 138:
-            j += 1
-        if j - i >= 11:
-            tokens.append((18, j - i - 11, 7))
-        elif j - i >= 3:
-            tokens.append((17, j - i - 3, 3))
-        else:
-            tokens.append((all_lengths[i], 0, 0))
-            j = i + 1
-        i = j
+    tokens, done = [], 0
+    for i, n in zip([*used, len(lengths)], [*lengths[used].tolist(), None]):
+        gap = i - done
+        while gap:
+            run = min(gap, 138)
+            if run >= 11:
+                tokens.append((18, run - 11, 7))
+            elif run >= 3:
+                tokens.append((17, run - 3, 3))
+            else:
+                run = 1
+                tokens.append((0, 0, 0))
+            gap -= run
+        if n is not None:
+            tokens.append((n, 0, 0))
+        done = i + 1
     counts = np.bincount([t[0] for t in tokens], minlength=19)
     of_lengths = code_lengths(counts, 7)
     single = (counts > 0).sum() == 1
@@ -616,10 +619,16 @@ def _copies(argb: np.ndarray, least: int = LEAST_COPY) -> tuple[np.ndarray, np.n
     for s, e in zip(first[some].tolist(), last[some].tolist()):
         s, far = max(s, done), int(back[e - 1])
         length = e - 1 + least - s
-        if length >= least and (argb[s : s + length] == argb[s - far : s - far + length]).all():  # equal hashes are no proof
+        if length >= least:
             out.append((s, length, far))
             done = s + length
-    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+    start, length, far = np.array(out, np.int64).reshape(-1, 3).T
+    if len(start):  # equal hashes are no proof
+        begin = np.cumsum(length) - length
+        at = np.repeat(start - begin, length) + np.arange(int(length.sum()))
+        true = np.logical_and.reduceat(argb[at] == argb[at - np.repeat(far, length)], begin)
+        start, length, far = start[true], length[true], far[true]
+    return start, length, far
 
 
 @lru_cache(8)
