@@ -11,7 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from roadflow.session import ship_package
+from roadflow.session import ship_package as _ship_package
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """``session.ship_package``, and batches of 1,000 whole texts where the session has no choice of its own: Spark's 10,000 are too many for a small executor."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, "1000")
+    _ship_package(spark)
+
 
 #: Bytes of text that a kernel holds at once; a longer single text forms a block of its own.
 BLOCK_BYTES = 1 << 19

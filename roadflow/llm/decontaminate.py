@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, own_names, parted, span_hashes, window_hashes, word_spans
-from roadflow.session import ship_package, written
+from roadflow.llm.common import blocks, bytes_of, own_names, parted, ship_package, span_hashes, window_hashes, word_spans
+from roadflow.session import written
 
 WINDOW = 13
 SHINGLE = 5

@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, cols, map_arrow
-from roadflow.session import ship_package
+from roadflow.llm.common import blocks, cols, map_arrow, ship_package
 
 ORDERS = 3
 BUCKETS = 1 << 15
 #: Most labelled rows that training reads: the first by a hash of their id. A fixed bound, whatever the input.
 TRAIN_ROWS = 12_000
 SMOOTHING = 0.5
+#: n-grams of one long text whose matrix rows are gathered at once.
+SLICE = 1 << 19
 UNKNOWN = "und"
 
 
@@ -114,7 +115,11 @@ def score(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tupl
         return out, share
     total = np.zeros((len(texts), len(langs)))
     for order in rows:
-        total += np.add.reduceat(matrix[order].astype(np.float64), at[:-1], axis=0)  # every text has its padding, so no empty slice
+        if len(texts) > 1 or len(order) <= SLICE:
+            total += np.add.reduceat(matrix[order].astype(np.float64), at[:-1], axis=0)  # every text has its padding, so no empty slice
+        else:  # a long text is alone in its block: a slice at a time
+            for k in range(0, len(order), SLICE):
+                total[0] += np.add.reduceat(matrix[order[k : k + SLICE]].astype(np.float64), [0], axis=0)[0]
     best = total.argmax(axis=1)
     share = np.where(has, 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
     return [langs[b] if h else UNKNOWN for b, h in zip(best, has)], share

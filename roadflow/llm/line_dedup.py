@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from roadflow.llm.common import blocks, map_arrow, own_names, parted, strings_of, window_hashes
-from roadflow.session import ship_package, written
+from roadflow.llm.common import blocks, map_arrow, own_names, parted, ship_package, strings_of, window_hashes
+from roadflow.session import written
 
 RUN = 3
 #: Words that make fewer lines a run, where asked for.

@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.llm import webp
-from roadflow.llm.common import blocks, strings_of
-from roadflow.session import ship_package
+from roadflow.llm.common import blocks, ship_package, strings_of
 
 WIDTH = 192
 def text_codes() -> tuple[bytes, ...]:

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, span_hashes
-from roadflow.session import ship_package, written
+from roadflow.llm.common import blocks, bytes_of, ship_package, span_hashes
+from roadflow.session import written
 
 CAPACITY = 4096
 END_ID = 1

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks
-from roadflow.session import ship_package
+from roadflow.llm.common import blocks, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters that the transducers rewrite at once, and how many on both sides a disguised identifier may reach beyond them.

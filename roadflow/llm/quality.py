@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, bytes_of, cols, map_arrow, mix, span_hashes
-from roadflow.session import ship_package
+from roadflow.llm.common import blocks, bytes_of, cols, map_arrow, mix, ship_package, span_hashes
 
 BUCKETS = 1 << 18
 #: Most labelled documents that training reads: the first by a hash of their id. A fixed bound, whatever the input.

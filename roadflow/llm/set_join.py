@@ -6,8 +6,8 @@ sets meet by the shingles of these prefixes and no pair is lost. Pairs that meet
 the sizes, on the places of the shingle in both sets, and on the number of differing bits of 1,024 parities of the sets. What stays is
 decided by intersecting the sets themselves.
 
-Components need not look at all pairs: first only pairs that join two parts are followed and decided; then all pairs between different
-parts that are left. A shingle with very many sets is dealt out by pairs of blocks of them.
+Components need not look at all pairs: links that are known come first; then only pairs that join two parts are followed and decided; then
+all pairs between different parts that are left. A shingle with very many sets is dealt out by pairs of blocks of them.
 
 Defined results: NULL and empty texts have the empty set and are alike. Fewer words than a shingle are one shingle. Texts with the same
 set are one node.
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, may_be_in, mix, strings_of
+from roadflow.llm.common import blocks, may_be_in, mix, ship_package, strings_of
 from roadflow.llm.components import components
-from roadflow.session import ship_package, written
+from roadflow.session import written
 
 #: The least similarity as a fraction, 0.8.
 LEAST = (4, 5)
@@ -44,12 +44,12 @@ SMALL_GROUP = 16
 ROWS_AT_ONCE = 20_000
 
 
-def _flat(block: pa.RecordBatch, column: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scrambled hashes of all shingles of a block, and the row of each."""
-    from roadflow.llm.simhash import shingle_hashes
+def _flat(block: pa.RecordBatch, column: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scrambled hashes of all shingles of a block, the row of each, and the rows' SimHashes."""
+    from roadflow.llm.simhash import shingle_hashes, simhashes
 
     h, each = shingle_hashes(strings_of(block.column(column)), shingle)
-    return mix(h), np.repeat(np.arange(block.num_rows), each)
+    return mix(h), np.repeat(np.arange(block.num_rows), each), simhashes(h, each)
 
 
 def _bit(p: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most=BLOCK_BYTES):
-            p, row = _flat(block, 0, shingle)
+            p, row, _ = _flat(block, 0, shingle)
             order = np.lexsort((p, row))
             p, row = p[order], row[order]
             new = np.concatenate([[True], (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(p) else np.zeros(0, bool)
@@ -76,15 +76,15 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, th, uid, n, h, parity): of each row the set's hash, size, members in order and parities, beside the text's xxhash64; stored."""
+    """(id, th, uid, n, h, parity, fp): of each row the set's hash, size, members in order and parities, and the text's SimHash, beside its xxhash64; stored."""
     spark = docs.sparkSession
     ship_package(spark)
     common = spark.sparkContext.broadcast(_common(docs, shingle))
-    names = ["id", "th", "uid", "n", "h", "parity"]
+    names = ["id", "th", "uid", "n", "h", "parity", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text", BLOCK_BYTES):
-            p, row = _flat(block, 2, shingle)
+            p, row, fp = _flat(block, 2, shingle)
             b = _bit(p)
             last = (common.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
             order = np.lexsort((p, last, row))
@@ -104,11 +104,11 @@ def shingle_sets(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> Da
             raw = parity.tobytes()
             size = 8 * PARITY_WORDS
             bits = pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(uid.view(np.int64)), pa.array(n, pa.int32()), h, bits], names)
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(uid.view(np.int64)), pa.array(n, pa.int32()), h, bits, pa.array(fp.view(np.int64))], names)
 
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
     kind = docs.schema["id"].dataType.simpleString()
-    return written(docs.mapInArrow(run, f"id {kind}, th long, uid long, n int, h array<long>, parity binary"), "sets")
+    return written(docs.mapInArrow(run, f"id {kind}, th long, uid long, n int, h array<long>, parity binary, fp long"), "sets")
 
 
 def _may_match(n: np.ndarray, at: np.ndarray, parity: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
@@ -227,19 +227,21 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter(_similar(F.size("hu"), F.size("hv"), F.size(F.array_intersect("hu", "hv")))).select("u", "v")
 
 
-def parts(sets: DataFrame) -> DataFrame:
-    """(u, v) as ``components`` gives them, of the sets' hashes linked by similarity. sets: of ``shingle_sets``."""
+def parts(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(u, v) as ``components`` gives them, of the sets' hashes linked by similarity. sets: of ``shingle_sets``. known: links that are verified already; a stored table."""
     p, q = LEAST
     prefix = F.expr(f"slice(h, 1, n - cast(ceil({p} * n / {q}) as int) + 1)")
     # copies of a set become one before they are sent
     one = written(sets.filter("n > 0").select("uid", "n", prefix.alias("prefix"), "parity").groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "parity"))), "unique")
-    met = _met(one.select("uid", "n", F.posexplode("prefix").alias("at", "key")).withColumn("root", F.col("uid")))
     parities = one.select("uid", "parity")
-    tried = written(_candidates(met, parities, True), "tried")
-    links = written(verified(tried, sets), "links")
-    roots = components(links).select(F.col("u").alias("uid"), F.col("v").alias("__root"))
-    again = _met(met.drop("root").join(roots, "uid", "left").select("key", "uid", "n", "at", F.coalesce("__root", "uid").alias("root")))
-    rest = written(_candidates(again, parities, False).join(tried, ["u", "v"], "left_anti"), "rest")
-    if rest.isEmpty():
-        return components(links)
-    return components(links.unionByName(verified(rest, sets)))
+    rows, links, tried, roots = one.select("uid", "n", F.posexplode("prefix").alias("at", "key")), known, known, components(known)
+    for spanning in (True, False):
+        of = roots.select(F.col("u").alias("uid"), F.col("v").alias("__root"))
+        rows = _met(rows.join(of, "uid", "left").select("key", "uid", "n", "at", F.coalesce("__root", "uid").alias("root")))
+        pairs = written(_candidates(rows, parities, spanning).join(tried, ["u", "v"], "left_anti"), "tried")
+        rows = rows.drop("root")
+        if pairs.isEmpty():
+            continue
+        links = written(links.unionByName(verified(pairs, sets)), "links")
+        tried, roots = tried.unionByName(pairs), components(links)
+    return roots

@@ -21,17 +21,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from roadflow.llm import set_join
-from roadflow.llm.common import blocks, cols, mix, own_names, parted, strings_of
+from roadflow.llm.common import blocks, cols, mix, own_names, parted, ship_package, strings_of
 from roadflow.llm.components import components
-from roadflow.session import ship_package, written
+from roadflow.session import written
 
 BUDGET = 3
-#: Of 64 bits, a similarity of at least 0.8.
-WIDE_BUDGET = 12
-TABLES, BINS_A_KEY = 8, 4
 SEED = 42
 #: Fingerprints of one group in one task; larger groups are dealt out again.
 MOST_IN_GROUP = 1024
@@ -97,16 +93,10 @@ def shingle_hashes(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.nda
     return xxh64(data, start[head], end[tail]) if len(head) else np.zeros(0, np.uint64), each
 
 
-def fingerprints(texts: list[bytes], shingle: int, samples: list[np.ndarray] | None = None) -> np.ndarray:
-    """The SimHash of each text, as unsigned 64-bit numbers.
-
-    samples: a list to append each text's sample keys to, see ``sample_keys``.
-    """
-    h, each = shingle_hashes(texts, shingle)
-    out = np.zeros(len(texts), np.uint64)
+def simhashes(h: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The SimHash of each text, as unsigned 64-bit numbers, from all shingles' hashes and each text's number of them."""
+    out = np.zeros(len(each), np.uint64)
     if not len(h):
-        if samples is not None:
-            samples.extend(np.zeros((len(texts), 0), np.int64))
         return out
     some = each > 0
     begin = (np.cumsum(each) - each)[some]
@@ -114,45 +104,24 @@ def fingerprints(texts: list[bytes], shingle: int, samples: list[np.ndarray] | N
         bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8)[:, k : k + 1], axis=1, bitorder="little")
         over = 2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > each[some][:, None]
         out[some] |= np.packbits(over, axis=1, bitorder="little")[:, 0].astype(np.uint64) << np.uint64(8 * k)
-    if samples is not None:
-        samples.extend(sample_keys(h, np.repeat(np.arange(len(texts)), each), len(texts)))
     return out
 
 
-def sample_keys(h: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each of n texts up to TABLES keys, each of the smallest hashed shingles in BINS_A_KEY of its bins.
+def fingerprints(texts: list[bytes], shingle: int) -> np.ndarray:
+    return simhashes(*shingle_hashes(texts, shingle))
 
-    Texts with a share s of their shingles in common agree on a key with a chance of about s ** BINS_A_KEY. Keys of empty bins are left out.
-    """
-    p = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-    slot = text * (TABLES * BINS_A_KEY) + (p % np.uint64(TABLES * BINS_A_KEY)).astype(np.int64)
-    order = np.lexsort((p, slot))
-    slot, p = slot[order], p[order]
-    first = np.concatenate([[True], slot[1:] != slot[:-1]])
-    low = np.full(n * TABLES * BINS_A_KEY, np.uint64(2**64 - 1))
-    low[slot[first]] = p[first]
-    low = low.reshape(n, TABLES, BINS_A_KEY)
-    key = np.tile(np.arange(TABLES, dtype=np.uint64), (n, 1))
-    for k in range(BINS_A_KEY):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, k])
-    some = (low != np.uint64(2**64 - 1)).any(axis=2)
-    return [a[b].view(np.int64) for a, b in zip(key, some)]
-
-
-def fingerprint_texts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", samples: bool = False) -> DataFrame:
-    """(id, th, fp): the fingerprint of each row's text as a long, beside the text's xxhash64. samples: with sample keys too."""
+
+def fingerprint_texts(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, fp): the fingerprint of each row's text as a long."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "__text"):
-            keys: list[np.ndarray] | None = [] if samples else None
-            fp = pa.array(fingerprints(strings_of(block.column(2)), shingle, keys).view(np.int64))
-            more = [pa.array(keys, pa.list_(pa.int64()))] if samples else []
-            yield pa.RecordBatch.from_arrays([*block.columns[:2], fp, *more], ["id", "th", "fp", "keys"][: 3 + samples])
+        for block in blocks(batches, 1):
+            fp = pa.array(fingerprints(strings_of(block.column(1)), shingle).view(np.int64))
+            yield pa.RecordBatch.from_arrays([block.column(0), fp], ["id", "fp"])
 
-    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
-    schema = docs.select("id", "th").schema.add("fp", "long")
-    return docs.mapInArrow(run, schema.add("keys", ArrayType(LongType())) if samples else schema)
+    docs = docs.select(F.col(id_col).alias("id"), F.col("text").alias("__text"))
+    return docs.mapInArrow(run, docs.select("id").schema.add("fp", "long"))
 
 
 # ------------------------------------------------------------------ links
@@ -238,20 +207,16 @@ def trie_links(group: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> np.nd
     return parts.root
 
 
-def _link_sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _link(batches, sampled=True)
-
-
-def _link(batches: Iterator[pa.RecordBatch], sampled: bool = False) -> Iterator[pa.RecordBatch]:
-    """Links within groups of rows (mask, fp): equal masked bits or, ``sampled``, equal keys in the mask's place."""
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within groups of rows (mask, fp) of equal masked bits."""
 
     def out(mask: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         value = fp.view(np.uint64)
-        key = mask.view(np.uint64) if sampled else value & mask.view(np.uint64)
+        key = value & mask.view(np.uint64)
         order = np.lexsort((value, key, mask))
         value, key, mask = value[order], key[order], mask[order]
         group = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (mask[1:] != mask[:-1]))])
-        root = trie_links(group, value, WIDE_BUDGET if sampled else BUDGET)
+        root = trie_links(group, value)
         new = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(value[root[new]].view(np.int64))], ["u", "v"])
 
@@ -263,7 +228,7 @@ def _link(batches: Iterator[pa.RecordBatch], sampled: bool = False) -> Iterator[
         n += len(m)
         if n >= ROWS_AT_ONCE:
             m, f = np.concatenate(masks), np.concatenate(fps)
-            key = m if sampled else f & m
+            key = f & m
             edge = np.flatnonzero((key[1:] != key[:-1]) | (m[1:] != m[:-1]))
             if len(edge):  # all but the last group, which may go on
                 cut = int(edge[-1]) + 1
@@ -306,23 +271,10 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.select("mask", "fp").mapInArrow(_link, "u long, v long")
 
 
-def sampled_links(fps: DataFrame) -> DataFrame:
-    """(u, v): links between fingerprints within WIDE_BUDGET bits of texts that agree on a sample key. fps: a stored table with fp and keys.
-
-    Texts that are 0.8 alike differ in about ten bits, too many for blocks of bits; a key in common takes the blocks' place.
-    """
-    ship_package(fps.sparkSession)
-    rows = fps.select(F.explode("keys").alias("key"), "fp").distinct()
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_link_sampled, "u long, v long")
-
-
 def classes(fps: DataFrame) -> DataFrame:
     """(fp, root, component_id): for each distinct fingerprint its component and the smallest id in it. fps: a stored table with id and fp."""
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("id")), "distinct")
-    near = links(distinct)
-    if "keys" in fps.columns:
-        near = near.unionByName(sampled_links(fps))
-    roots = components(near)
+    roots = components(links(distinct))
     of = written(distinct.join(roots.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "id", F.coalesce("v", "fp").alias("root")), "roots")
     smallest = written(of.groupBy("root").agg(F.min("id").alias("component_id")), "smallest")
     return written(of.join(smallest, "root").select("fp", "root", "component_id"), "classes")
@@ -334,20 +286,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") ->
     return fps.join(classes(fps), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id", exact: bool = False) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id (NULL last).
+def trie_pairs(sets: DataFrame) -> DataFrame:
+    """(u, v): pairs of sets to look at, such that all sets whose fingerprints the trie links hang together; stored. sets: of ``set_join.shingle_sets``."""
+    of = written(sets.filter("n > 0").groupBy("uid").agg(F.min("fp").alias("fp")), "fingerprints")
+    ahead = written(of.groupBy("fp").agg(F.min("uid").alias("first")), "ahead")
+    near = links(ahead.select("fp"))
+    for end in "uv":
+        near = near.join(ahead.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_")), end)
+    same = of.join(ahead, "fp").filter("uid <> first").select(F.col("uid").alias("u_"), F.col("first").alias("v_"))
+    both = near.select("u_", "v_").unionByName(same)
+    return written(both.select(F.least("u_", "v_").alias("u"), F.greatest("u_", "v_").alias("v")).distinct(), "near")
+
+
+def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of texts linked by a Jaccard similarity of 0.8 or more of their shingle sets: the one with the smallest id (NULL last).
 
-    exact: links are all pairs of texts whose shingle sets have a Jaccard similarity of 0.8 or more, and no others, see ``set_join``. Otherwise
-    they are those of fingerprints within BUDGET bits and, among texts that agree on a sample key, within WIDE_BUDGET bits.
+    The trie self-join of fingerprints finds most links, and each is verified on the sets themselves. Texts that are 0.8 alike may differ in over
+    BUDGET bits, so ``set_join`` then looks for all links between different groups that are left: none is lost, and none below 0.8 counts.
     """
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    if exact:
-        fps = set_join.shingle_sets(docs, shingle=shingle, id_col=id_col)
-        roots = set_join.parts(fps).select(F.col("u").alias("uid"), "v")
-        of = written(fps.select("id", "th", "uid").join(roots, "uid", "left").select("id", "th", F.coalesce("v", "uid").alias("root")), "members")
-    else:
-        fps = written(fingerprint_texts(docs, shingle=shingle, id_col=id_col, samples=True), "fingerprints")
-        of = written(fps.join(classes(fps), "fp").select("id", "th", "root"), "members")
+    fps = set_join.shingle_sets(docs, shingle=shingle, id_col=id_col)
+    found = written(set_join.verified(trie_pairs(fps), fps), "verified")
+    roots = set_join.parts(fps, found).select(F.col("u").alias("uid"), "v")
+    of = written(fps.select("id", "th", "uid").join(roots, "uid", "left").select("id", "th", F.coalesce("v", "uid").alias("root")), "members")
     first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
     go = written(of.join(first, "root").filter(~key.eqNullSafe(F.col("k"))).select("id", "th").distinct(), "go")
     stay, maybe = parted(docs, id_col, go)

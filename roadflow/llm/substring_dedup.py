@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from roadflow.llm.common import blocks, bytes_of, mix, parted, powers, span_hashes, window_hashes, word_spans
+from roadflow.llm.common import blocks, bytes_of, mix, parted, powers, ship_package, span_hashes, window_hashes, word_spans
 from roadflow.operators.trajectories import numbered
-from roadflow.session import ship_package, written
+from roadflow.session import written
 
 WINDOW = 20
 GRAM = 8

@@ -73,7 +73,7 @@ def test_clashing_columns_pass_through(spark):
     assert [r["n_removed"] for r in cut] == [0, 3, 3] and cut[1]["text"] == "tail 1" and cut[2]["a.b"] == 2 and cut[0]["__spans"] == 7
     assert line_dedup.dedup(df).columns == df.columns
     same = df.withColumn("text", F.lit("the very same words in every row of it"))
-    kept = simhash.keep_one(same.unionByName(same), shingle=5, exact=True)
+    kept = simhash.keep_one(same.unionByName(same), shingle=5)
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [0]
     items = spark.createDataFrame([("i", "the very same words in every row of it")], "item_id string, text string")
     assert decontaminate.remove_contaminated(same, items).count() == 0
@@ -198,45 +198,6 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, docs).limit(0), shingle=3).count() == 0
 
 
-def test_keep_one(spark):
-    rng = np.random.default_rng(12)
-    docs = corpus(11) + [(2000, None, 1), (None, "", 2), (None, "a b c d e", 3), (2001, "a b c d e", 3), (2001, "a b c d e", 3)]
-    long = [f"w{i}" for i in rng.integers(0, 5000, 300)]
-    docs.append((3000, " ".join(long), 0))
-    for k in range(12):  # copies with three words of 300 changed
-        copy = list(long)
-        for i in rng.integers(0, 300, 3):
-            copy[i] = f"x{k}"
-        docs.append((3001 + k, " ".join(copy), 0))
-    docs += [(4000 + k, " ".join(f"w{i}" for i in rng.integers(0, 5000, 300)), 0) for k in range(12)]  # of the same words, in other orders
-    keys: list = []
-    fps = [int(x) for x in simhash.fingerprints([(t or "").encode() for _, t, _ in docs], 5, keys)]
-    assert fps == [brute_fingerprint(t, 5) for _, t, _ in docs]
-    root = list(range(len(docs)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(docs)):
-        for j in range(i):
-            d = bin(fps[i] ^ fps[j]).count("1")
-            if d <= 3 or (d <= 12 and set(keys[i].tolist()) & set(keys[j].tolist())):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    parts: dict[int, list] = {}
-    for i in range(len(docs)):
-        parts.setdefault(find(i), []).append((docs[i][0] is None, docs[i][0] or 0))
-    kept = simhash.keep_one(frame(spark, docs), shingle=5)
-    assert kept.columns == ["doc_id", "text", "n_words"]
-    got = kept.collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted(min(p) for p in parts.values())
-    ids = {r["doc_id"] for r in got}
-    assert 3000 in ids and not ids & set(range(3001, 3013)) and set(range(4000, 4012)) <= ids
-    assert simhash.keep_one(frame(spark, docs).limit(0), shingle=5).count() == 0
-
-
 @pytest.mark.parametrize("seed", [6, 7])
 def test_decontamination(spark, seed):
     docs = corpus(seed, words=60)

@@ -54,7 +54,7 @@ def edited(rng, words, times, tag):
 
 
 def test_texts_below_the_similarity_stay(spark):
-    """Pairs at 0.6 to 0.79, many of them within 12 bits and with a sample key in common."""
+    """Pairs at 0.6 to 0.79, many of them within 12 bits."""
     rng = np.random.default_rng(5)
     docs = []
     for k in range(60):
@@ -62,10 +62,9 @@ def test_texts_below_the_similarity_stay(spark):
         docs += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(edited(rng, words, 9 + k % 7, k)), "en")]
     sets = [shingles(t) for _, t, _ in docs]
     below = [k for k in range(60) if not similar(sets[2 * k], sets[2 * k + 1])]
-    keys: list = []
-    fps = simhash.fingerprints([t.encode() for _, t, _ in docs], 5, keys)
-    linked = [k for k in below if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) <= 12 and set(keys[2 * k].tolist()) & set(keys[2 * k + 1].tolist())]
-    assert len(linked) >= 5  # such texts were deleted
+    fps = simhash.fingerprints([t.encode() for _, t, _ in docs], 5)
+    linked = [k for k in below if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) <= 12]
+    assert len(linked) >= 5  # near by their fingerprints, and yet no copies
     assert kept(spark, docs) == brute_kept(docs)
 
 
@@ -89,15 +88,29 @@ def test_odd_texts_and_chains(spark, monkeypatch, most):
 
 
 def test_near_copies_at_the_edge_go(spark):
-    """Pairs at 0.8 to 0.85, some of them beyond 12 bits or without a sample key in common."""
+    """Pairs at 0.8 to 0.85, many of them beyond the trie's three bits."""
     rng = np.random.default_rng(7)
     docs = []
     for k in range(150):
         words = [f"w{i}" for i in rng.integers(0, 5000, 200)]
         docs += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(edited(rng, words, 4, k)), "en")]
-    keys: list = []
-    fps = simhash.fingerprints([t.encode() for _, t, _ in docs], 5, keys)
+    fps = simhash.fingerprints([t.encode() for _, t, _ in docs], 5)
     near = [k for k in range(150) if similar(shingles(docs[2 * k][1]), shingles(docs[2 * k + 1][1]))]
-    missed = [k for k in near if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) > 12 or not set(keys[2 * k].tolist()) & set(keys[2 * k + 1].tolist())]
-    assert len(missed) >= 3  # both copies stayed
+    missed = [k for k in near if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) > simhash.BUDGET]
+    assert len(missed) >= 3  # the trie alone would leave both
     assert kept(spark, docs) == brute_kept(docs)
+
+
+def test_the_trie_finds_what_is_within_its_budget(spark):
+    rng = np.random.default_rng(8)
+    docs = []
+    for k in range(40):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 400)]
+        docs += [(2 * k, " ".join(words), "en"), (2 * k + 1, " ".join(edited(rng, words, 1, k)), "en")]
+    sets = set_join.shingle_sets(spark.createDataFrame(docs, COLUMNS), shingle=5)
+    rows = {r["id"]: (r["uid"], r["fp"] & (2**64 - 1)) for r in sets.collect()}
+    fps = simhash.fingerprints([t.encode() for _, t, _ in docs], 5)
+    assert [rows[i][1] for i in range(80)] == fps.tolist()
+    pairs = {frozenset(r) for r in simhash.trie_pairs(sets).collect()}
+    within = [k for k in range(40) if np.bitwise_count(fps[2 * k] ^ fps[2 * k + 1]) <= simhash.BUDGET]
+    assert len(within) > 20 and all(frozenset((rows[2 * k][0], rows[2 * k + 1][0])) in pairs for k in within)
