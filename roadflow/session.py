@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -10,11 +11,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
 _LOCAL: dict[str, str] = {}
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -23,8 +24,6 @@ def ship_package(spark: SparkSession) -> None:
     Executors of a cluster do not share the driver's folders, so the package goes to them
     as a zip through Spark's own file server.
     """
-    if spark.conf.get(_BATCH) == "10000":  # Spark's default, too many whole texts for a small executor; any other choice stays
-        spark.conf.set(_BATCH, "1000")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -61,9 +60,33 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends here.
 
-    A lost executor costs the tasks that run on it, never what is already written.
+    A lost executor costs the tasks that run on it, never what is already written. ``clean_up`` deletes an application's tables.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/roadflow/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/roadflow/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.append(folder)
+        atexit.register(_delete, folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_FOLDERS: list[str] = []
+
+
+def _delete(folder: str) -> None:
+    """Through the file system that Spark wrote it with; it may outlive the session, but not the JVM."""
+    gateway = SparkContext._gateway
+    if folder not in _FOLDERS or gateway is None:
+        return
+    _FOLDERS.remove(folder)
+    with contextlib.suppress(Exception):  # at the interpreter's end the JVM may be gone
+        path = gateway.jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+
+
+def clean_up() -> None:
+    """Deletes the tables of this application's operators: for the end of a run, when no result is read any more. The end of the program does the same."""
+    for folder in list(_FOLDERS):
+        _delete(folder)
