@@ -3,8 +3,8 @@
 A text's UTF-8 bytes are padded with blanks to a positive multiple of 192 and become the rows of a grey image, 192 samples wide. A
 payload of more rows than an image may have fills several images; the stored form is their RIFF files back to back. Reading decodes
 the stored bytes again; every figure but the text's own size is computed from what was read. The writer measures: of the sets of tools that the
-samples speak for (palette, predictors, none) it keeps the smallest, with back-references wherever eight bytes came before, and with codes of the
-image's own wherever these outweigh their description. One rule for texts of every size.
+samples speak for (palette, predictors, none) it keeps the smallest, with back-references wherever twelve bytes came before, and with codes of the
+image's own wherever these save an eighth. One rule for texts of every size.
 
 Defined results: NULL counts as an empty text (192 blanks). Texts of any length are stored whole; memory follows one image at a
 time (16,384 rows). Equal texts give equal values. Stored bytes that are no such image raise ``webp.BadImage``.
@@ -16,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +27,35 @@ from roadflow.llm import webp
 from roadflow.llm.common import blocks, ship_package, strings_of
 
 WIDTH = 192
-def text_codes() -> tuple[bytes, ...]:
-    """Code lengths for text, for images that do not gain by codes of their own: a rough rank of letters, then ASCII, then all other bytes; short copies from afar."""
-    counts = np.ones(256 + webp.LENGTH_CODES, np.int64)
-    counts[128:192] = 40
-    counts[32:127] = 60
-    counts[97:123] = 500
-    for rank, c in enumerate(b" etnaoihrsdlu"):
-        counts[c] = 9000 // (rank + 2)
-    counts[195] = 400
-    counts[256 + 4 : 256 + 10] = 300
-    distances = np.ones(webp.DISTANCE_CODES, np.int64)
-    distances[12:24] = 60
-    return webp.one_channel(counts.tobytes(), distances.tobytes())
+# Letters by how often they occur in a language, the blank first, and the share of its bytes that begin a letter of Latin-1.
+LETTERS = {
+    "English": (" etaoinshrdlcumwfgypbvkjxqz", 0.0005),
+    "German": (" enisratdhulcgmobwfkzpvjyxq", 0.03),
+    "French": (" esaitnrulodcpmvqfbghjxyzkw", 0.03),
+    "Spanish": (" eaosrnidlctumpbgvyqhfzjxkw", 0.03),
+}
+
+
+@lru_cache(1)
+def text_codes() -> list[tuple[bytes, ...]]:
+    """Code lengths for text in each language: letters decline by a seventh from rank to rank, capitals are rare, other signs rarer; copies are short and come from afar."""
+    out = []
+    for rank, latin in LETTERS.values():
+        counts = np.ones(256 + webp.LENGTH_CODES)
+        counts[32:127], counts[48:58] = 12, 20
+        for r, c in enumerate(rank.encode()):
+            share = 14_500 * 0.86**r
+            counts[c] = max(share, 40)
+            if r:
+                counts[c - 32] = max(0.03 * share, 30)
+        for sign, share in ((".", 1500), (",", 1200), ("\n", 400), ("'", 200), ("-", 200)):
+            counts[ord(sign)] = share
+        counts[195], counts[160:192] = 100_000 * latin, 100_000 * latin / 32
+        counts[256 + 6], counts[256 + 7 : 256 + 16] = 800, 30
+        distances = np.ones(webp.DISTANCE_CODES)
+        distances[1], distances[12:32] = 60, 100 * np.minimum(np.arange(1, 21), np.arange(20, 0, -1))
+        out.append(webp.one_channel(counts.astype(np.int64).tobytes(), distances.astype(np.int64).tobytes()))
+    return out
 
 
 def pad(text: bytes) -> bytes:

@@ -142,16 +142,17 @@ _known: list[tuple[tuple[int, ...], int, int, list[_Code]]] = []
 def _read_group(bits: _Bits, alphabets: tuple[int, ...]) -> list[_Code]:
     """The codes of one group. The last few groups' bits are kept, since many images of one encoder start alike."""
     p = bits.pos
-    for sizes, n, head, codes in _known:
+    for k, (sizes, n, head, codes) in enumerate(_known):
         if sizes == alphabets and (int.from_bytes(bits.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7)) & ((1 << n) - 1) == head:
             bits.pos = p + n
             for c in codes:
                 c.seen = True
+            _known.insert(0, _known.pop(k))
             return codes
     codes = [_read_code(bits, a) for a in alphabets]
     n = bits.pos - p
     _known.insert(0, (alphabets, n, (int.from_bytes(bits.data[p >> 3 : (p + n + 7) >> 3], "little") >> (p & 7)) & ((1 << n) - 1), codes))
-    del _known[4:]
+    del _known[8:]
     return codes
 
 
@@ -214,8 +215,15 @@ def _read_image(bits: _Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
+def _values_at(prefix: np.ndarray, at: np.ndarray, peek) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths or distance codes whose extra bits start at these bits, and the bits after them."""
+    extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+    more = (peek(at) & ((np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
+    return np.where(prefix < 4, prefix + 1, ((2 + (prefix & 1)) << extra) + more + 1), at + extra
+
+
 _CHUNK = 1 << 16  # bytes of the stream whose bit positions are looked up at once
-_WINDOWS_FROM = 1 << 18  # samples from which a code met for the first time is worth a table of all 16-bit windows; others go symbol by symbol
+_WINDOWS_UPTO = 1 << 12  # samples up to which an image with codes that were met before goes by a table of all 16-bit windows; copies of larger ones are read together
 
 
 def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.ndarray:
@@ -223,7 +231,7 @@ def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np
     fixed = [int(c.table[0]) >> 4 if not c.bits else None for c in rest]
     if not green.bits and None not in fixed and int(green.table[0]) >> 4 < 256:
         return np.full(total, fixed[0] << 16 | int(green.table[0]) >> 4 << 8 | fixed[1] | fixed[2] << 24, np.uint32)
-    if None not in fixed and (green.seen or total >= _WINDOWS_FROM):
+    if None not in fixed and green.seen and total <= _WINDOWS_UPTO:
         return _read_one_channel(bits, green, distance, fixed[0] << 16 | fixed[1] | fixed[2] << 24, width, total)
     raw = np.frombuffer(bits.data, np.uint8)
     wide = np.ndarray((len(raw) - 7,), "<u8", bits.data, strides=(1,))
@@ -271,17 +279,19 @@ def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np
                 colour |= (e >> 4).astype(np.uint32) << np.uint32(shift)
                 q += e & 15
         done = 0
-        for i in np.flatnonzero(symbol >= 256).tolist():
+        at = np.flatnonzero(symbol >= 256)
+        q = chain[at] + 8 * base + (entry[chain[at]] & 15)
+        lengths, q = _values_at(symbol[at] - 256, q, peek)
+        far = look(distance, peek(q))
+        backs, _ = _values_at(far >> 4, q + (far & 15), peek)
+        for i, length, back in zip(at.tolist(), lengths.tolist(), backs.tolist()):
             m = min(i - done, total - n)
             out[n : n + m] = colour[done : done + m]
             n += m
             done = i + 1
             if n == total:
                 break
-            one = _Bits.__new__(_Bits)
-            one.data, one.pos = bits.data, int(chain[i]) + 8 * base + int(entry[chain[i]] & 15)
-            length = _value(int(symbol[i]) - 256, one)
-            back = _far(_value(distance.read(one), one), width)
+            back = _far(back, width)
             if back > n or n + length > total:
                 raise BadImage("a back-reference leaves the image")
             out[n : n + length] = np.resize(out[n - back : n], length) if back < length else out[n - back : n - back + length]
@@ -487,6 +497,8 @@ def decode(data: bytes) -> np.ndarray:
 # ------------------------------------------------------------------ encoding
 
 MOST_CODE_BITS = 12
+#: The share of the bits that codes of an image's own have to save, for the time that writing and reading them takes.
+OWN_SAVES = 0.125
 MOST_COPY = 4096  # the format's longest; a copy's codes and extra bits fit 64 bits
 
 
@@ -591,35 +603,42 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
 
 
-#: Pixels of which equal ones before are looked for, and so the shortest copy.
-LEAST_COPY = 8
+#: Pixels of which equal ones before are looked for, and the shortest copy.
+CHAINED, LEAST_COPY = 8, 12
 
 
-def _copies(argb: np.ndarray, least: int = LEAST_COPY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _copies(argb: np.ndarray, least: int = CHAINED, shortest: int = LEAST_COPY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and distance of back-references: each window of ``least`` pixels is chained to the last equal one before it by its hash;
-    neighbouring windows at one distance are one longer match; the first match in a row wins.
+    neighbouring windows at one distance are one longer match; the first match in a row of ``shortest`` pixels or more wins.
     """
     n = len(argb) - least + 1
     none = (np.zeros(0, np.int64),) * 3
     if n < 2:
         return none
-    h = argb[:n].astype(np.uint64)
-    for k in range(1, least):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + argb[k : k + n]
-    order = np.argsort(h, kind="stable")
-    same = np.flatnonzero(h[order[1:]] == h[order[:-1]])
+    if least == 8 and not ((argb ^ argb[0]) & np.uint32(0xFFFF00FF)).any():  # green alone: eight bytes at once
+        h = np.ndarray((n,), "<u8", (argb >> np.uint32(8)).astype(np.uint8).tobytes(), strides=(1,))
+    else:
+        h = argb[:n].astype(np.uint64)
+        for k in range(1, least):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + argb[k : k + n]
+    # one number to sort: a hash of the window above its place
+    bits = np.uint64(n.bit_length())
+    key = (h * np.uint64(0x9E3779B97F4A7C15)) >> bits << bits | np.arange(n, dtype=np.uint64)
+    key.sort()
+    same = np.flatnonzero((key[1:] ^ key[:-1]) >> bits == 0)
     if not len(same):
         return none
+    place = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     back = np.zeros(n, np.int64)
-    back[order[same + 1]] = order[same + 1] - order[same]
+    back[place[same + 1]] = place[same + 1] - place[same]
     edge = np.flatnonzero(np.concatenate([[True], back[1:] != back[:-1], [True]]))
     first, last = edge[:-1], edge[1:]
-    some = back[first] > 0
+    some = (back[first] > 0) & (last - first > shortest - least)
     out, done = [], 0
-    for s, e in zip(first[some].tolist(), last[some].tolist()):
-        s, far = max(s, done), int(back[e - 1])
+    for s, e, far in zip(first[some].tolist(), last[some].tolist(), back[first[some]].tolist()):
+        s = max(s, done)
         length = e - 1 + least - s
-        if length >= least:
+        if length >= shortest:
             out.append((s, length, far))
             done = s + length
     start, length, far = np.array(out, np.int64).reshape(-1, 3).T
@@ -645,15 +664,31 @@ def _distance_codes(far: np.ndarray, width: int) -> np.ndarray:
     return np.array([near.get(d, d + len(NEAR)) for d in far.tolist()], np.int64)
 
 
-@lru_cache(16)
-def group_header(lengths: tuple[bytes, ...]) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]:
-    """Five codes as they stand in the stream (its bits and their number), and each symbol's code and length. lengths: of int32."""
+@lru_cache(64)
+def _written_code(lengths: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """A code as it stands in the stream (its bits and their number), and each symbol's code and length. lengths: of int32."""
     w = _Writer()
-    codes = [_write_code(w, np.frombuffer(x, np.int32)) for x in lengths]
-    return w.value, w.n, codes
+    codes = _write_code(w, np.frombuffer(lengths, np.int32))
+    return w.value, w.n, *codes
+
 
+def group_header(lengths: tuple[bytes, ...]) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]:
+    """Five codes in a row, and each symbol's code and length in each."""
+    value = n = 0
+    parts = [_written_code(x) for x in lengths]
+    for bits, size, _, _ in parts:
+        value |= bits << n
+        n += size
+    return value, n, [(c, s) for _, _, c, s in parts]
 
-@lru_cache(4)
+
+@lru_cache(256)
+def _single(symbol: int) -> bytes:
+    """Code lengths of a channel with one value."""
+    return np.eye(1, 256, symbol, dtype=np.int32)[0].tobytes()
+
+
+@lru_cache(16)
 def one_channel(counts: bytes, distances: bytes) -> tuple[bytes, ...]:
     """Code lengths for images in which only green varies, from int64 counts of all its 280 symbols and of the 40 distances; each gets a code."""
     single = [np.zeros(256, np.int32) for _ in range(3)]
@@ -668,8 +703,8 @@ def _entropy_bits(counts: np.ndarray) -> float:
     return float((used * np.log2(used.sum() / used)).sum()) if len(used) > 1 else 0.0
 
 
-def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, prior: tuple[bytes, ...] | None = None, across: int = 1, told: list[str] | None = None) -> np.ndarray | None:
-    """Writes an image; the main one's symbols come back as 32-bit words that start at the writer's end. prior: codes that are used if the image's own take more bits. told: gets the tools used."""
+def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, prior: list[tuple[bytes, ...]] | None = None, across: int = 1, told: list[str] | None = None) -> np.ndarray | None:
+    """Writes an image; the main one's symbols come back as 32-bit words that start at the writer's end. prior: codes of which the best are used unless the image's own save OWN_SAVES of the bits. told: gets the tools used."""
     n = len(argb)
     start, length, far = _copies(argb) if main else (np.zeros(0, np.int64),) * 3
     pieces = -(-length // MOST_COPY)
@@ -704,18 +739,25 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     alphabet = 256 + LENGTH_CODES + (1 << cache_bits if cache_bits else 0)
     counts = [np.bincount(np.concatenate([green, 256 + prefix]), minlength=alphabet), np.bincount(d_prefix, minlength=DISTANCE_CODES)]
     channels: list[np.ndarray] = []
-    given = None
-    if prior is not None:
+    given, own_codes = None, False
+    alone = main and n > 0 and not ((argb ^ argb[0]) & np.uint32(0xFFFF00FF)).any()
+    if prior:
         # all that counts is green and distance; the own codes' description takes some five bits a symbol
-        bits = sum(int(c @ np.frombuffer(x, np.int32)) for c, x in zip(counts, (prior[0], prior[4])))
-        if bits <= sum(map(_entropy_bits, counts)) + 5 * sum(int((c > 0).sum()) for c in counts) + 60:
-            given = prior
+        bits = [sum(int(c @ np.frombuffer(x, np.int32)) for c, x in zip(counts, (p[0], p[4]))) for p in prior]
+        own = sum(map(_entropy_bits, counts)) + 5 * sum(int((c > 0).sum()) for c in counts) + 60
+        if own > (1 - OWN_SAVES) * min(bits):
+            given = prior[bits.index(min(bits))]
     if given is None:
-        channels = [((argb[literal] >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)]
-        of_channels = [np.bincount(c[~hit], minlength=256) for c in channels]
-        given = tuple(code_lengths(c, MOST_CODE_BITS).tobytes() for c in (counts[0], *of_channels, counts[1] if len(size) else np.eye(1, DISTANCE_CODES, dtype=np.int64)[0]))
+        own_codes = True
+        green_lengths, far_lengths = (code_lengths(c, MOST_CODE_BITS).tobytes() for c in (counts[0], counts[1] if len(size) else np.eye(1, DISTANCE_CODES, dtype=np.int64)[0]))
+        if alone:
+            others = [_single(int(argb[0]) >> shift & 255) for shift in (16, 0, 24)]
+        else:
+            channels = [((argb[literal] >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)]
+            others = [code_lengths(np.bincount(c[~hit], minlength=256), MOST_CODE_BITS).tobytes() for c in channels]
+        given = (green_lengths, *others, far_lengths)
     if told is not None:
-        told += ["copies"] * bool(len(size)) + ["cache"] * bool(hit.any()) + ["own codes" if channels else "shared codes"]
+        told += ["copies"] * bool(len(size)) + ["cache"] * bool(hit.any()) + ["own codes" if own_codes else "shared codes"]
     head, bits, codes = group_header(given)
     w.put(head, bits)
     others, (d_codes, d_sizes) = codes[1:4], codes[4]
@@ -729,17 +771,15 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
         for v, b in zip(value.tolist(), width.tolist()):
             w.put(v, b)
         return None
-    copy, own = codes[256 + prefix] | extra.astype(np.uint64) << own.astype(np.uint64), own + extra_bits
-    copy, own = copy | d_codes[d_prefix] << own.astype(np.uint64), own + d_sizes[d_prefix]
-    copy, own = copy | d_extra.astype(np.uint64) << own.astype(np.uint64), own + d_bits
-    order = np.argsort(np.concatenate([literal, first]), kind="stable") if len(first) else slice(None)
-    if len(first):
-        value, width = np.concatenate([value, copy])[order], np.concatenate([width, own])[order]
+    if len(first):  # a copy is two fields: its length, then its distance
+        copy, far = codes[256 + prefix] | extra.astype(np.uint64) << own.astype(np.uint64), d_codes[d_prefix] | d_extra.astype(np.uint64) << d_sizes[d_prefix].astype(np.uint64)
+        order = np.argsort(np.concatenate([literal, first, first]), kind="stable")
+        value, width = np.concatenate([value, copy, far])[order], np.concatenate([width, own + extra_bits, d_sizes[d_prefix] + d_bits])[order]
     at = w.n + np.concatenate([[0], np.cumsum(width)])
     out = np.zeros((int(at[-1]) >> 5) + 3, np.uint64)
-    for part in range(0, 24 * -(-int(width.max(initial=1)) // 24), 24):  # at most 24 bits at a time, so that a field and its shift fit 64 bits
+    for part in range(0, 32 * -(-int(width.max(initial=1)) // 32), 32):  # at most 32 bits at a time, so that a field and its shift fit 64 bits
         p = at[:-1] + part
-        v = ((value >> np.uint64(part)) & np.uint64(0xFFFFFF)) << (p & 31).astype(np.uint64)
+        v = ((value >> np.uint64(part)) & np.uint64(0xFFFFFFFF)) << (p & 31).astype(np.uint64)
         word = p >> 5
         keys = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         low, high = np.add.reduceat(v & np.uint64(0xFFFFFFFF), keys), np.add.reduceat(v >> np.uint64(32), keys)
@@ -753,10 +793,10 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     return out.astype("<u4")
 
 
-def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, prior: tuple[bytes, ...] | None = None, told: list[str] | None = None) -> bytes:
+def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, prior: list[tuple[bytes, ...]] | None = None, told: list[str] | None = None) -> bytes:
     """rgba as lossless WebP. predictor: modes by tile and the tile's bits (2 to 9); cross: factors by tile and the tile's bits.
 
-    prior: code lengths to use where the image's own would take more bits, see ``one_channel``; only for images that vary in green alone.
+    prior: code lengths to choose from where the image's own would save little, see ``one_channel``; only for images that vary in green alone.
     """
     height, width = rgba.shape[:2]
     if not (0 < height <= MOST_SIDE and 0 < width <= MOST_SIDE):

@@ -45,7 +45,7 @@ def test_copies_are_real_back_references():
     text = (b"the quick brown fox jumps over the lazy dog, and " * 3 + b"something else; " + b"quick brown fox ") * 4
     a = np.frombuffer(text, np.uint8).astype(np.uint32) << 8
     start, length, far = webp._copies(a)
-    assert len(start) and (far > 0).all() and (length >= 8).all() and (start[1:] >= (start + length)[:-1]).all()
+    assert len(start) and (far > 0).all() and (length >= webp.LEAST_COPY).all() and (start[1:] >= (start + length)[:-1]).all()
     for s, n, d in zip(start.tolist(), length.tolist(), far.tolist()):
         assert all(a[i] == a[i - d] for i in range(s, s + n))
     assert len(media.store(media.pad(text))) < 0.35 * len(text)
