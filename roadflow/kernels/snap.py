@@ -147,3 +147,57 @@ class Pieces:
             found = piece[rows, best] >= 0
             edge[of[found]], dist[of[found]] = e[rows, best][found], off[rows, best][found]
         return edge, dist
+
+
+class Places:
+    """The nearest of many places, however far, by a grid of cells that hold about two places each and are looked at ring by ring."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x, self.y = x, y
+        n = max(1, len(x))
+        span = max(float(np.ptp(x)), float(np.ptp(y)), 1.0) if len(x) else 1.0
+        self.cell = span / max(1.0, (n / 2) ** 0.5)
+        self.low = np.array([x.min(initial=0), y.min(initial=0)]) if not len(x) else np.array([x.min(), y.min()])
+        cx, cy = self._cell(x, y)
+        self.wide, self.high = int(cx.max(initial=0)) + 1, int(cy.max(initial=0)) + 1
+        key = cx * self.high + cy
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
+
+    def _cell(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.floor((x - self.low[0]) / self.cell).astype(np.int64), np.floor((y - self.low[1]) / self.cell).astype(np.int64)
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The index of the nearest place (of equals the first); -1 for a place that is not known."""
+        best, near = np.full(len(x), -1, np.int64), np.full(len(x), np.inf)
+        todo = np.flatnonzero(np.isfinite(x) & np.isfinite(y)) if len(self.x) else np.zeros(0, np.int64)
+        # from outside the grid the search starts at its edge
+        cx, cy = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        cx[todo], cy[todo] = self._cell(np.clip(x[todo], self.low[0], self.low[0] + self.wide * self.cell * (1 - 1e-12)), np.clip(y[todo], self.low[1], self.low[1] + self.high * self.cell * (1 - 1e-12)))
+        ring = 0
+        while len(todo):
+            for dx in range(-ring, ring + 1):
+                for dy0, dy1 in ((-ring, ring),) if abs(dx) == ring else ((-ring, -ring), (ring, ring)):
+                    col = cx[todo] + dx
+                    lo, hi = np.maximum(cy[todo] + dy0, 0), np.minimum(cy[todo] + dy1, self.high - 1)
+                    inside = (col >= 0) & (col < self.wide) & (lo <= hi)
+                    of, col, lo, hi = todo[inside], col[inside], lo[inside], hi[inside]
+                    a = np.searchsorted(self.key, col * self.high + lo, "left")
+                    n = np.searchsorted(self.key, col * self.high + hi, "right") - a
+                    who = np.repeat(of, n)
+                    place = self.order[np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    d = (x[who] - self.x[place]) ** 2 + (y[who] - self.y[place]) ** 2
+                    rank = np.lexsort((place, d, who))
+                    who, place, d = who[rank], place[rank], d[rank]
+                    first = np.concatenate([[True], who[1:] != who[:-1]]) if len(who) else np.zeros(0, bool)
+                    who, place, d = who[first], place[first], d[first]
+                    closer = (d < near[who]) | ((d == near[who]) & (place < best[who]))
+                    best[who[closer]], near[who[closer]] = place[closer], d[closer]
+            # a place in a ring farther out is at least this far from the clipped point, and so from the point itself
+            px, py = np.clip(x[todo], self.low[0], self.low[0] + self.wide * self.cell), np.clip(y[todo], self.low[1], self.low[1] + self.high * self.cell)
+            edge = np.minimum.reduce([px - self.low[0] - (cx[todo] - ring) * self.cell, (cx[todo] + ring + 1) * self.cell + self.low[0] - px, py - self.low[1] - (cy[todo] - ring) * self.cell, (cy[todo] + ring + 1) * self.cell + self.low[1] - py])
+            # from the point itself: the way to the grid comes on top, squared
+            out = (x[todo] - px) ** 2 + (y[todo] - py) ** 2
+            todo = todo[near[todo] > np.maximum(edge, 0) ** 2 + out] if ring <= max(self.wide, self.high) else todo[:0]
+            ring += 1
+        return best

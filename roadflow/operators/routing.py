@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from roadflow.functions.units import usable_speed
 from roadflow.kernels import geodesy, structure
+from roadflow.kernels.snap import Places
 from roadflow.operators.aggregate import REGIMES
 from roadflow.operators.analysis import weak_components
 from roadflow.operators.network import Network
@@ -42,14 +43,15 @@ class Router:
             got = self.network.nodes.orderBy("node_id").toArrow()
             lon, lat = got.column("lon").to_numpy(), got.column("lat").to_numpy()
             x, y = geodesy.utm(lon, lat, shared["zone"], shared["north"])
-            self._nodes = self.network.edges.sparkSession.sparkContext.broadcast((shared["node_ids"], x, y)), dict(zip(zip(lon.tolist(), lat.tolist()), shared["node_ids"].tolist()))
+            by_place = dict(zip(zip(lon.tolist(), lat.tolist()), shared["node_ids"].tolist()))
+            self._nodes = self.network.edges.sparkSession.sparkContext.broadcast((shared["node_ids"], Places(x, y))), by_place
         return self._nodes
 
     def nearest_node(self, lon: float, lat: float) -> int:
-        ids, x, y = self._node_arrays()[0].value
+        ids, places = self._node_arrays()[0].value
         shared = self.network.graph().value
-        px, py = geodesy.utm(lon, lat, shared["zone"], shared["north"])
-        return int(ids[np.argmin((x - px) ** 2 + (y - py) ** 2)])
+        x, y = geodesy.utm([lon], [lat], shared["zone"], shared["north"])
+        return int(ids[places.nearest(x, y)[0]])
 
     def _weights(self, mode: str, period: str, cost: Column | None) -> DataFrame:
         time, assumed = edge_travel_time(self.network.edges, period=period if mode == "time" else "overall", default_speed_mps=self.default_speed_mps, use_maxspeed=self.use_maxspeed)
@@ -73,7 +75,7 @@ class Router:
         ends = ["o_lon", "o_lat", "d_lon", "d_lat"] if snap else ["o_node", "d_node"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g, (ids, nx, ny), (w, t, length, assumed) = graph.value, nodes.value, shared.value
+            g, (ids, places), (w, t, length, assumed) = graph.value, nodes.value, shared.value
             links = structure.cheapest(g["graph"].u, g["graph"].v, w, g["graph"].nodes)
             for b in batches:
                 c = [np.asarray(b.column(i + 1)) for i in range(len(ends))]
@@ -81,7 +83,7 @@ class Router:
                     at = []
                     for lon, lat in (c[:2], c[2:]):
                         x, y = geodesy.utm(lon, lat, g["zone"], g["north"])
-                        at.append([int(np.argmin((nx - p) ** 2 + (ny - q) ** 2)) for p, q in zip(x, y)])
+                        at.append([k if k >= 0 else None for k in places.nearest(x, y).tolist()])
                 else:
                     at = [[int(k) if k < len(ids) and ids[k] == v else None for k, v in zip(np.searchsorted(ids, x), x)] for x in c]
                 rows = []
@@ -101,7 +103,8 @@ class Router:
     def _resolve(self, place, name: str, snap: bool) -> int:
         ids, by_place = self._node_arrays()[0].value[0], self._node_arrays()[1]
         if isinstance(place, (int, np.integer)):
-            if int(place) in set(ids.tolist()):
+            k = np.searchsorted(ids, int(place))
+            if k < len(ids) and ids[k] == int(place):
                 return int(place)
             raise ValueError(f"{name} {place!r} is no node of the network")
         try:

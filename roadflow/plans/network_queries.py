@@ -280,7 +280,8 @@ def epsg_codes(spark, sf_dir):
     """Zones by position, and what is read from names of systems."""
     places = [(15.0, 50.0), (-122.4, 37.8), (151.2, -33.9), (0.0, 0.0), (-74.0, 40.7), (179.9, -1.0)]
     rows = [(f"{lon} {lat}", int(geo.utm_epsg_for(lon, lat)), *map(int, geo.utm_zone_of(geo.utm_epsg_for(lon, lat)))) for lon, lat in places]
-    named = [(s, geo.parse_epsg(s)) for s in ("EPSG:32618", "urn:ogc:def:crs:EPSG::3857")]
+    member = {"crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}}  # as GeoJSON files have it
+    named = [(s, geo.parse_epsg(s)) for s in ("EPSG:32618", " epsg:4326 ", geo.geojson_crs(member))]
     rows += [(s, int(code), None, None) for s, code in named]
     return spark.createDataFrame(rows, "place string, epsg long, zone long, north long")
 
@@ -456,7 +457,7 @@ r AS (SELECT r, avg(o) AS o FROM range(264) AS a(r) LEFT JOIN s ON s.edge_id //
     "round_trips": f"SELECT id, round(-77.0 + (-179.5 + id * 359.0 / 200) / 60, 7) AS lon, round(-79.0 + id * 158.0 / 200, 7) AS lat, round(degrees((-179.5 + id * 359.0 / 200) * 111319.49 / {g.A!r}), 7) AS m_lon, round(degrees(2 * atan(exp((-79.0 + id * 158.0 / 200) * 111319.49 / {g.A!r})) - pi() / 2), 7) AS m_lat FROM range(201) AS t(id)",
     "geodesics": f"WITH RECURSIVE src AS (SELECT id AS key, -170.0 + id * 1.1 AS lon1, -80.0 + id * 0.5 AS lat1, -170.0 + id * 1.1 + 0.01 * (id % 100) AS lon2, -80.0 + id * 0.5 + 0.3 - 0.01 * (id % 60) AS lat2 FROM range(300) AS t(id)), {geodesic('src')} SELECT key AS id, round(metres, 4) AS metres FROM geo",
     "unit_names": f"""SELECT name, unit, round(10 * f, 6) AS ten_in_mps, round(10 / f, 6) AS ten_mps_in FROM (VALUES ('mph', 'mph', {_MPH}), ('MPH ', 'mph', {_MPH}), ('mi/h', 'mph', {_MPH}), ('kph', 'kph', {_KPH}), ('km/h', 'kph', {_KPH}), (' kmh', 'kph', {_KPH}), ('mps', 'mps', 1.0), ('m/s', 'mps', 1.0)) AS t(name, unit, f)""",
-    "epsg_codes": "SELECT * FROM (VALUES ('15.0 50.0', 32633::BIGINT, 33::BIGINT, 1::BIGINT), ('-122.4 37.8', 32610, 10, 1), ('151.2 -33.9', 32756, 56, 0), ('0.0 0.0', 32631, 31, 1), ('-74.0 40.7', 32618, 18, 1), ('179.9 -1.0', 32760, 60, 0), ('EPSG:32618', 32618, NULL, NULL), ('urn:ogc:def:crs:EPSG::3857', 3857, NULL, NULL)) AS t(place, epsg, zone, north)",
+    "epsg_codes": "SELECT * FROM (VALUES ('15.0 50.0', 32633::BIGINT, 33::BIGINT, 1::BIGINT), ('-122.4 37.8', 32610, 10, 1), ('151.2 -33.9', 32756, 56, 0), ('0.0 0.0', 32631, 31, 1), ('-74.0 40.7', 32618, 18, 1), ('179.9 -1.0', 32760, 60, 0), ('EPSG:32618', 32618, NULL, NULL), (' epsg:4326 ', 4326, NULL, NULL), ('EPSG:3857', 3857, NULL, NULL)) AS t(place, epsg, zone, north)",
     "peak_windows": f"""{adapters.with_tables('obs')}, u AS (SELECT interval_id, any_value(time) AS time, any_value(speed_mps) AS v FROM obs WHERE edge_id <> -1 AND speed_mps IS NOT NULL GROUP BY interval_id), h AS (SELECT hour(time) AS hour, median(v) AS s FROM u GROUP BY 1),
 w AS (SELECT n, st, avg(s) AS score, list((st + k) % 24) AS hours FROM (VALUES (4), (5)) AS z(n), range(24) AS a(st), range(5) AS b(k) JOIN h ON h.hour = (st + k) % 24 WHERE k < n GROUP BY n, st HAVING count(*) = n),
 p AS (SELECT hours FROM w WHERE n = 4 ORDER BY score, st LIMIT 1), o AS (SELECT w.hours FROM w, p WHERE n = 5 AND len(list_intersect(w.hours, p.hours)) = 0 ORDER BY score DESC, st LIMIT 1)

@@ -268,3 +268,15 @@ def test_dwells_whole_and_in_parts(seed):
         out += mask[:k].tolist()
         at += k
     assert out == want.tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 50, 700])
+def test_nearest_places(n):
+    rng = np.random.default_rng(n)
+    x, y = np.round(rng.uniform(0, 1000, n), -1), np.round(rng.uniform(0, 300, n), -1)  # with ties
+    px, py = rng.uniform(-700, 1700, 300), rng.uniform(-500, 900, 300)
+    px[3] = np.nan
+    px[:3], py[:3] = 500.0, 150.0
+    got = snap.Places(x, y).nearest(px, py)
+    for a, b, k in zip(px, py, got.tolist()):
+        assert k == (int(np.argmin((x - a) ** 2 + (y - b) ** 2)) if n and np.isfinite(a) else -1)
