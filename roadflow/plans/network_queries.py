@@ -348,10 +348,12 @@ strong AS (SELECT x.a AS node_id, min(x.b) AS component FROM sreach x JOIN sreac
 sizes AS (SELECT component, count(*) AS n FROM strong GROUP BY component), top AS (SELECT component FROM sizes ORDER BY n DESC, component LIMIT 1)"""
 
 
-def _cheapest(weight: str, digits: int, name: str) -> str:
-    """Least sums of a weight along edges, for the trips."""
+def _cheapest(weight: str, digits: int, name: str, east: float = 0.0, south: float = 0.0) -> str:
+    """Least sums of a weight along edges, for the trips, from the node nearest to one end (so far east of its own) to that nearest to the other (so far south)."""
+    start, end = utm(f"({_lon('o')} + {east})", _lat("o")), utm(_lon("d"), f"({_lat('d')} - {south})")
     return f"""{_TOWN_SQL}, w AS (SELECT u, v, min({weight}) AS w FROM e GROUP BY u, v), trips AS ({_TRIPS.format(div='//', n='supplier')}),
-ends AS (SELECT trip_id, a.node_id AS o, b.node_id AS d FROM trips LEFT JOIN tn a ON a.j = trips.o LEFT JOIN tn b ON b.j = trips.d),
+nx AS (SELECT node_id, {utm(_lon('j'), _lat('j'))[0]} AS x, {utm(_lon('j'), _lat('j'))[1]} AS y FROM tn), tx AS (SELECT trip_id, {start[0]} AS ox, {start[1]} AS oy, {end[0]} AS dx, {end[1]} AS dy FROM trips),
+ends AS (SELECT trip_id, arg_min(node_id, pow(x - ox, 2) + pow(y - oy, 2)) AS o, arg_min(node_id, pow(x - dx, 2) + pow(y - dy, 2)) AS d FROM tx, nx GROUP BY trip_id),
 walk(s, v, k, d) AS (SELECT DISTINCT o, o, 0, 0.0::DOUBLE FROM ends UNION ALL SELECT s, w.v, k + 1, min(d + w.w)::DOUBLE FROM walk JOIN w ON walk.v = w.u WHERE k < 70 GROUP BY s, w.v, k),
 far AS (SELECT s, v, min(d) AS d FROM walk GROUP BY s, v)
 SELECT trip_id, round(far.d, {digits}) AS {name} FROM ends LEFT JOIN far ON far.s = o AND far.v = ends.d"""
@@ -424,7 +426,7 @@ rest(s, p, q, t, d, n) AS (SELECT s, p, q, q, d, 1.0::DOUBLE FROM tight UNION AL
 use AS (SELECT r.p, r.q, sum(w.n * r.n / z.n) AS b FROM (SELECT s, p, q, t, d, sum(n) AS n FROM rest GROUP BY ALL) r JOIN ways w ON w.s = r.s AND w.v = r.p JOIN ways z ON z.s = r.s AND z.v = r.t GROUP BY r.p, r.q),
 same AS (SELECT u, v, count(*) AS n FROM e GROUP BY u, v)
 SELECT edge_id, round(coalesce(b, 0) / same.n / ((SELECT count(*) FROM tn) * ((SELECT count(*) FROM tn) - 1)), 6) AS betweenness FROM e JOIN same USING (u, v) LEFT JOIN use ON use.p = e.u AND use.q = e.v""",
-    "routes_distance": _cheapest("len", 3, "distance_m"),
+    "routes_distance": _cheapest("len", 3, "distance_m", 0.0001, 0.0001),
     "routes_time": _cheapest(f"len / coalesce(mps, {routing.DEFAULT_SPEED_MPS})", 4, "travel_time_s"),
     "routes_cost": _cheapest("1.0", 0, "h").replace("SELECT trip_id, round(far.d, 0) AS h", "SELECT trip_id, far.d::BIGINT AS n_edges, far.d::BIGINT AS hops"),
     "hmm_edges": f"{_MATCH} SELECT point_id, traj_id, edge_id, round(off, 3) AS snap_dist_m FROM hmm",
