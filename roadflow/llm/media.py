@@ -4,7 +4,7 @@ A text's UTF-8 bytes are padded with blanks to a positive multiple of 192 and be
 payload of more rows than an image may have fills several images; the stored form is their RIFF files back to back. Reading decodes
 the stored bytes again; every figure but the text's own size is computed from what was read. The writer measures: of the sets of tools that the
 samples speak for (palette, predictors, none) it keeps the smallest, with back-references wherever twelve bytes came before, and with codes of the
-image's own wherever these save an eighth. One rule for texts of every size.
+image's own wherever these save two fifths. One rule for texts of every size.
 
 Defined results: NULL counts as an empty text (192 blanks). Texts of any length are stored whole; memory follows one image at a
 time (16,384 rows). Equal texts give equal values. Stored bytes that are no such image raise ``webp.BadImage``.

@@ -498,7 +498,7 @@ def decode(data: bytes) -> np.ndarray:
 
 MOST_CODE_BITS = 12
 #: The share of the bits that codes of an image's own have to save, for the time that writing and reading them takes.
-OWN_SAVES = 0.125
+OWN_SAVES = 0.4
 MOST_COPY = 4096  # the format's longest; a copy's codes and extra bits fit 64 bits
 
 
@@ -672,6 +672,7 @@ def _written_code(lengths: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
     return w.value, w.n, *codes
 
 
+@lru_cache(64)
 def group_header(lengths: tuple[bytes, ...]) -> tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]:
     """Five codes in a row, and each symbol's code and length in each."""
     value = n = 0
@@ -742,8 +743,8 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     given, own_codes = None, False
     alone = main and n > 0 and not ((argb ^ argb[0]) & np.uint32(0xFFFF00FF)).any()
     if prior:
-        # all that counts is green and distance; the own codes' description takes some five bits a symbol
-        bits = [sum(int(c @ np.frombuffer(x, np.int32)) for c, x in zip(counts, (p[0], p[4]))) for p in prior]
+        # all that counts is green and distance, and the codes' description, which takes some five bits a symbol if they are the image's own
+        bits = [group_header(p)[1] + sum(int(c @ np.frombuffer(x, np.int32)) for c, x in zip(counts, (p[0], p[4]))) for p in prior]
         own = sum(map(_entropy_bits, counts)) + 5 * sum(int((c > 0).sum()) for c in counts) + 60
         if own > (1 - OWN_SAVES) * min(bits):
             given = prior[bits.index(min(bits))]

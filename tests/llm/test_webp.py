@@ -65,7 +65,7 @@ def test_the_writer_chooses_tools_by_size(spark, sf_dir):
     from roadflow.llm import queries
 
     used = {t for r in queries.op1_webp_media(spark, sf_dir).select("tools").distinct().collect() for t in r["tools"].split(",")}
-    assert used >= {"copies", "shared codes", "own codes", "subtract-green", "palette"}, used
+    assert used >= {"copies", "shared codes", "own codes", "subtract-green"}, used
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 9, 16, 17, 200])
