@@ -6,6 +6,8 @@ import heapq
 
 import numpy as np
 
+from roadflow.kernels.graph import Links, Reach, spread
+
 
 def cheapest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, nodes: int) -> list[dict[int, tuple[float, list[int]]]]:
     """For each node its successors: the least weight of the edges between, and the edges of that weight."""
@@ -19,41 +21,55 @@ def cheapest(u: np.ndarray, v: np.ndarray, weight: np.ndarray, nodes: int) -> li
     return out
 
 
-def betweenness(links: list[dict[int, tuple[float, list[int]]]], sources: list[int], edges: int) -> np.ndarray:
-    """For each edge, over all shortest paths from the sources, the share of paths that use it (Brandes). Edges of equal weight between two nodes share alike."""
-    total = np.zeros(edges)
-    n = len(links)
-    for s in sources:
-        order, before, paths, best = [], [[] for _ in range(n)], [0.0] * n, {}
-        seen = {s: 0.0}
-        paths[s] = 1.0
-        heap, tick = [(0.0, 0, s, s)], 1
-        while heap:
-            d, _, came, a = heapq.heappop(heap)
-            if a in best:
-                continue
-            if came != a:
-                paths[a] += paths[came]
-            best[a] = d
-            order.append(a)
-            for b, (w, _) in links[a].items():
-                far = d + w
-                if b not in best and far < seen.get(b, np.inf):
-                    seen[b] = far
-                    heapq.heappush(heap, (far, tick, a, b))
-                    tick += 1
-                    paths[b], before[b] = 0.0, [a]
-                elif far == seen.get(b) and b not in best:
-                    paths[b] += paths[a]
-                    before[b].append(a)
-        depends = [0.0] * n
-        for b in reversed(order):
-            for a in before[b]:
-                c = paths[a] / paths[b] * (1 + depends[b])
-                depends[a] += c
-                same = links[a][b][1]
-                total[same] += c / len(same)
-    return total
+#: Pairs of a source and a node that are followed together.
+PAIRS_AT_ONCE = 1 << 20
+
+
+def betweenness(u: np.ndarray, v: np.ndarray, weight: np.ndarray, nodes: int, sources: np.ndarray) -> np.ndarray:
+    """For each edge, over all shortest paths from the sources, the share of paths that use it. Edges of equal weight between two nodes share alike.
+
+    All sources of a batch go together: their distances are one table of pairs; the links that shortest paths use form a graph on these pairs without
+    cycles, through which numbers of paths are summed forth, layer by layer, and dependencies back (Brandes' recurrence).
+    """
+    links = Links(u, v, weight, np.arange(len(u)), nodes)
+    at = np.searchsorted(links.key, u * nodes + v)  # of each edge the link between its ends
+    cheapest_ = weight == links.length[at]
+    shared = np.bincount(at[cheapest_], minlength=len(links.head))
+    total = np.zeros(len(links.head))
+    size = max(1, PAIRS_AT_ONCE // max(1, nodes))
+    for k in range(0, len(sources), size):
+        some = np.unique(sources[k : k + size])
+        key, far, came = Reach(links)._search(some, np.full(len(some), np.inf))
+        node = key % nodes
+        count = links.start[node + 1] - links.start[node]
+        link = np.repeat(links.start[node], count) + spread(count)
+        a = np.repeat(np.arange(len(key)), count)
+        b = np.searchsorted(key, key[a] // nodes * nodes + links.head[link])
+        # a link without length counts only where the search came by it, lest two such go round in circles
+        used = (far[a] + links.length[link] == far[b]) & ((links.length[link] > 0) | (came[b] == node[a])) & (node[b] != key[b] // nodes)
+        a, b, link = a[used], b[used], link[used]
+        start = np.searchsorted(a, np.arange(len(key) + 1))
+        left = np.bincount(b, minlength=len(key))
+        paths = np.zeros(len(key))
+        front = np.flatnonzero(node == key // nodes)
+        paths[front] = 1.0
+        layers = []
+        while len(front):
+            n = start[front + 1] - start[front]
+            step = np.repeat(start[front], n) + spread(n)
+            layers.append(step)
+            np.add.at(paths, b[step], paths[a[step]])
+            np.subtract.at(left, b[step], 1)
+            reached = np.unique(b[step])
+            front = reached[left[reached] == 0]
+        depends = np.zeros(len(key))
+        for step in reversed(layers):
+            c = paths[a[step]] / paths[b[step]] * (1 + depends[b[step]])
+            np.add.at(depends, a[step], c)
+            np.add.at(total, link[step], c)
+    out = np.zeros(len(u))
+    out[cheapest_] = (total / np.maximum(shared, 1))[at[cheapest_]]
+    return out
 
 
 def strong_components(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:

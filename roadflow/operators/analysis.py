@@ -48,9 +48,8 @@ def edge_betweenness_centrality(network: Network, *, weight: str | None, normali
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = graph.value["graph"]
-        links = structure.cheapest(g.u, g.v, weights.value, g.nodes)
         for b in batches:
-            total = structure.betweenness(links, b.column(0).to_pylist(), len(g.u))
+            total = structure.betweenness(g.u, g.v, weights.value, g.nodes, np.asarray(b.column(0)))
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["edge_id", "b"])
 

@@ -230,8 +230,9 @@ def test_betweenness_matches_listed_paths():
         ok = u != v
         u, v = u[ok], v[ok]
         w = rng.integers(1, 4, len(u)).astype(float)
-        links = structure.cheapest(u, v, w, 7)
-        assert structure.betweenness(links, list(range(7)), len(u)) == pytest.approx(brute_betweenness(links, 7, len(u)))
+        assert structure.betweenness(u, v, w, 7, np.arange(7)) == pytest.approx(brute_betweenness(structure.cheapest(u, v, w, 7), 7, len(u)))
+    zero = structure.betweenness(np.array([0, 1, 1, 2]), np.array([1, 0, 2, 1]), np.array([0.0, 0.0, 1.0, 1.0]), 3, np.arange(3))
+    assert zero.tolist() == [2.0, 2.0, 2.0, 2.0]
 
 
 def test_structure(spark):
