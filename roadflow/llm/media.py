@@ -37,7 +37,7 @@ LETTERS = {
 
 
 @lru_cache(1)
-def text_codes() -> list[tuple[bytes, ...]]:
+def text_codes() -> tuple[tuple[bytes, ...], ...]:
     """Code lengths for text in each language: letters decline by a seventh from rank to rank, capitals are rare, other signs rarer; copies are short and come from afar."""
     out = []
     for rank, latin in LETTERS.values():
@@ -55,7 +55,7 @@ def text_codes() -> list[tuple[bytes, ...]]:
         distances = np.ones(webp.DISTANCE_CODES)
         distances[1], distances[12:32] = 60, 100 * np.minimum(np.arange(1, 21), np.arange(20, 0, -1))
         out.append(webp.one_channel(counts.astype(np.int64).tobytes(), distances.astype(np.int64).tobytes()))
-    return out
+    return tuple(out)
 
 
 def pad(text: bytes) -> bytes:
@@ -65,12 +65,11 @@ def pad(text: bytes) -> bytes:
 def _plans(grey: np.ndarray) -> list[dict]:
     """The sets of tools that may give the smallest image: the plain one, and others where a count of the samples speaks for them."""
     plans: list[dict] = [{}]
-    counts = np.bincount(grey.ravel(), minlength=256)
-    if np.count_nonzero(counts) <= 16:  # several samples fit a byte
+    flat = grey.ravel()
+    if np.count_nonzero(np.bincount(flat, minlength=256)) <= 16:  # several samples fit a byte
         plans.append({"palette": True})
-    bits = webp._entropy_bits(counts)
-    for mode, residual in ((1, np.diff(grey, axis=1)), (2, np.diff(grey, axis=0))):
-        if webp._entropy_bits(np.bincount(residual.ravel(), minlength=256)) < 0.9 * bits:
+    for mode, back in ((1, 1), (2, grey.shape[1])):
+        if 2 * np.count_nonzero(flat[back:] == flat[:-back]) > len(flat):  # most samples are like the one before or above
             plans.append({"predictor": (np.full((-(-grey.shape[0] // 512), -(-grey.shape[1] // 512)), mode), 9)})
     return plans
 
@@ -81,13 +80,15 @@ def store(payload: bytes, told: list[str] | None = None) -> bytes:
     out = []
     for at in range(0, len(rows), webp.MOST_SIDE):
         part = rows[at : at + webp.MOST_SIDE]
-        rgba = np.empty((*part.shape, 4), np.uint8)
-        rgba[...] = part[..., None]
-        rgba[..., 3] = 255
         best = None
         for plan in _plans(part):
             tools: list[str] = []
-            done = webp.encode(rgba, subtract_green="palette" not in plan, prior=text_codes(), told=tools, **plan)
+            if plan:
+                rgba = np.repeat(part[..., None], 4, 2)
+                rgba[..., 3] = 255
+                done = webp.encode(rgba, subtract_green="palette" not in plan, prior=text_codes(), told=tools, **plan)
+            else:
+                done = webp.encode_grey(part, prior=text_codes(), told=tools)
             if best is None or len(done) < len(best[0]):
                 best = done, tools
         out.append(best[0])

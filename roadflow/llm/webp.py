@@ -223,7 +223,6 @@ def _values_at(prefix: np.ndarray, at: np.ndarray, peek) -> tuple[np.ndarray, np
 
 
 _CHUNK = 1 << 16  # bytes of the stream whose bit positions are looked up at once
-_WINDOWS_UPTO = 1 << 12  # samples up to which an image with codes that were met before goes by a table of all 16-bit windows; copies of larger ones are read together
 
 
 def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np.ndarray:
@@ -231,7 +230,7 @@ def _read_at_once(bits: _Bits, codes: list[_Code], width: int, total: int) -> np
     fixed = [int(c.table[0]) >> 4 if not c.bits else None for c in rest]
     if not green.bits and None not in fixed and int(green.table[0]) >> 4 < 256:
         return np.full(total, fixed[0] << 16 | int(green.table[0]) >> 4 << 8 | fixed[1] | fixed[2] << 24, np.uint32)
-    if None not in fixed and green.seen and total <= _WINDOWS_UPTO:
+    if None not in fixed and green.seen:  # codes that were met before are worth a table of all 16-bit windows
         return _read_one_channel(bits, green, distance, fixed[0] << 16 | fixed[1] | fixed[2] << 24, width, total)
     raw = np.frombuffer(bits.data, np.uint8)
     wide = np.ndarray((len(raw) - 7,), "<u8", bits.data, strides=(1,))
@@ -699,12 +698,18 @@ def one_channel(counts: bytes, distances: bytes) -> tuple[bytes, ...]:
     return tuple(x.tobytes() for x in (green, *single, distance))
 
 
+@lru_cache(4)
+def _prior_table(prior: tuple[tuple[bytes, ...], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set of codes the lengths for green and for distances, and the bits of its description."""
+    return *(np.stack([np.frombuffer(p[k], np.int32) for p in prior]).astype(float) for k in (0, 4)), np.array([group_header(p)[1] for p in prior])
+
+
 def _entropy_bits(counts: np.ndarray) -> float:
     used = counts[counts > 0].astype(float)
     return float((used * np.log2(used.sum() / used)).sum()) if len(used) > 1 else 0.0
 
 
-def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, prior: list[tuple[bytes, ...]] | None = None, across: int = 1, told: list[str] | None = None) -> np.ndarray | None:
+def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0, prior: tuple[tuple[bytes, ...], ...] | None = None, across: int = 1, told: list[str] | None = None) -> np.ndarray | None:
     """Writes an image; the main one's symbols come back as 32-bit words that start at the writer's end. prior: codes of which the best are used unless the image's own save OWN_SAVES of the bits. told: gets the tools used."""
     n = len(argb)
     start, length, far = _copies(argb) if main else (np.zeros(0, np.int64),) * 3
@@ -744,10 +749,12 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     alone = main and n > 0 and not ((argb ^ argb[0]) & np.uint32(0xFFFF00FF)).any()
     if prior:
         # all that counts is green and distance, and the codes' description, which takes some five bits a symbol if they are the image's own
-        bits = [group_header(p)[1] + sum(int(c @ np.frombuffer(x, np.int32)) for c, x in zip(counts, (p[0], p[4]))) for p in prior]
-        own = sum(map(_entropy_bits, counts)) + 5 * sum(int((c > 0).sum()) for c in counts) + 60
-        if own > (1 - OWN_SAVES) * min(bits):
-            given = prior[bits.index(min(bits))]
+        of_green, of_far, heads = _prior_table(prior)
+        bits = of_green @ counts[0] + of_far @ counts[1] + heads
+        best = int(bits.argmin())
+        own = sum(map(_entropy_bits, counts)) + 5 * sum(int(np.count_nonzero(c)) for c in counts) + 60
+        if own > (1 - OWN_SAVES) * bits[best]:
+            given = prior[best]
     if given is None:
         own_codes = True
         green_lengths, far_lengths = (code_lengths(c, MOST_CODE_BITS).tobytes() for c in (counts[0], counts[1] if len(size) else np.eye(1, DISTANCE_CODES, dtype=np.int64)[0]))
@@ -794,17 +801,38 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     return out.astype("<u4")
 
 
-def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, prior: list[tuple[bytes, ...]] | None = None, told: list[str] | None = None) -> bytes:
+def _start(width: int, height: int, alpha: bool) -> _Writer:
+    if not (0 < height <= MOST_SIDE and 0 < width <= MOST_SIDE):
+        raise ValueError("an image has 1 to 16384 rows and columns")
+    w = _Writer()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (int(alpha), 1), (0, 3)):
+        w.put(value, n)
+    return w
+
+
+def _file(w: _Writer, words: np.ndarray) -> bytes:
+    body = words.tobytes()[: (w.n + 7) // 8]
+    body += bytes(len(body) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+
+
+def encode_grey(grey: np.ndarray, *, prior: tuple[tuple[bytes, ...], ...] | None = None, told: list[str] | None = None) -> bytes:
+    """What ``encode`` makes of an opaque grey image with subtract_green, without its four channels in between."""
+    w = _start(grey.shape[1], grey.shape[0], False)
+    for value, n in ((1, 1), (SUBTRACT_GREEN, 2), (0, 1)):
+        w.put(value, n)
+    if told is not None:
+        told.append("subtract-green")
+    return _file(w, _write_image(w, grey.ravel().astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), True, 0, prior, grey.shape[1], told))
+
+
+def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None, cross: tuple[np.ndarray, int] | None = None, subtract_green: bool = False, palette: bool = False, cache_bits: int = 0, prior: tuple[tuple[bytes, ...], ...] | None = None, told: list[str] | None = None) -> bytes:
     """rgba as lossless WebP. predictor: modes by tile and the tile's bits (2 to 9); cross: factors by tile and the tile's bits.
 
     prior: code lengths to choose from where the image's own would save little, see ``one_channel``; only for images that vary in green alone.
     """
     height, width = rgba.shape[:2]
-    if not (0 < height <= MOST_SIDE and 0 < width <= MOST_SIDE):
-        raise ValueError("an image has 1 to 16384 rows and columns")
-    w = _Writer()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (int((rgba[..., 3] < 255).any()), 1), (0, 3)):
-        w.put(value, n)
+    w = _start(width, height, bool((rgba[..., 3] < 255).any()))
 
     def start(kind: int) -> None:
         w.put(1, 1)
@@ -846,7 +874,4 @@ def encode(rgba: np.ndarray, *, predictor: tuple[np.ndarray, int] | None = None,
     w.put(0, 1)
     if told is not None:
         told += [name for name, used in (("palette", palette), ("predictor", predictor is not None), ("cross-colour", cross is not None), ("subtract-green", subtract_green)) if used]
-    words = _write_image(w, _join(rgba).ravel(), True, cache_bits, prior, rgba.shape[1], told)
-    body = words.tobytes()[: (w.n + 7) // 8]
-    body += bytes(len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+    return _file(w, _write_image(w, _join(rgba).ravel(), True, cache_bits, prior, rgba.shape[1], told))
