@@ -591,8 +591,7 @@ def _write_code(w: _Writer, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, sizes
 
 
-def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix, number of extra bits and extra bits of lengths or distance codes (from 1)."""
+def _prefix_of(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     v = np.asarray(value, np.int64) - 1
     top = np.zeros(v.shape, np.int64)
     big = v >= 2
@@ -602,6 +601,14 @@ def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return prefix, extra, np.where(v < 4, 0, v & ((1 << extra) - 1))
 
 
+_PREFIXES = np.stack(_prefix_of(np.maximum(np.arange(1 << 13), 1)))
+
+
+def _prefix(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix, number of extra bits and extra bits of lengths or distance codes (from 1)."""
+    return tuple(_PREFIXES[:, value]) if not len(value) or int(value.max()) < 1 << 13 else _prefix_of(value)
+
+
 #: Pixels of which equal ones before are looked for, and the shortest copy.
 CHAINED, LEAST_COPY = 8, 12
 
@@ -719,8 +726,8 @@ def _write_image(w: _Writer, argb: np.ndarray, main: bool, cache_bits: int = 0,
     literal: np.ndarray | slice = slice(None)
     if len(start):
         inside = np.zeros(n + 1, np.int64)
-        np.add.at(inside, start, 1)
-        np.add.at(inside, start + length, -1)
+        inside[start] += 1
+        inside[start + length] -= 1
         literal = np.flatnonzero(np.cumsum(inside)[:n] == 0)
     elif cache_bits:
         literal = np.arange(n)
