@@ -3,7 +3,7 @@
 Each text is the set of its shingles' 64-bit hashes, in one order for all texts: shingles that are common in a sample of the texts come last,
 the others by hash. Two sets that are similar enough share a shingle among the first floor(n / 5) + 1 of each (n: the set's size), so
 sets meet by the shingles of these prefixes and no pair is lost. Pairs that meet are dropped by bounds that hold for certain: on
-the sizes, on the places of the shingle in both sets, and on the number of differing bits of 1,024 parities of the sets. What stays is
+the sizes, on the places of the shingle in both sets, and on the number of differing bits of 512 parities of the sets. What stays is
 decided by intersecting the sets themselves.
 
 Components need not look at all pairs: links that are known come first; then only pairs that join two parts are followed and decided; then
@@ -33,7 +33,7 @@ FILTER_BITS = 22
 #: One text in so many is looked at for common shingles, those that so many of them hold.
 SAMPLE, COMMON = 8, 8
 #: 64-bit words of a set's parities.
-PARITY_WORDS = 16
+PARITY_WORDS = 8
 #: Bytes of text that a kernel holds at once.
 BLOCK_BYTES = 1 << 18
 #: Sets of one shingle in one task; more are dealt out by pairs of blocks.
