@@ -280,3 +280,9 @@ def test_nearest_places(n):
     got = snap.Places(x, y).nearest(px, py)
     for a, b, k in zip(px, py, got.tolist()):
         assert k == (int(np.argmin((x - a) ** 2 + (y - b) ** 2)) if n and np.isfinite(a) else -1)
+
+
+def test_a_short_geodesic_is_worked_out_from_the_settled_longitude():
+    """Of 18 m, against the same formula with all its steps; the last step but one is off by a tenth of a micrometre."""
+    got = geodesy.geodesic([-77.29079052, -77.28982136], [38.80203468, 38.80195224], [-77.29058644, -77.28960348], [38.80199796, 38.80203132])
+    assert got == pytest.approx([18.190500082618488, 20.863500138063866], abs=1e-8)
