@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from roadflow.llm.common import blocks, may_be_in, mix, ship_package, strings_of
 from roadflow.llm.components import components
-from roadflow.session import written
+from roadflow.session import drop, release, written
 
 #: The least similarity as a fraction, 0.8.
 LEAST = (4, 5)
@@ -108,6 +108,7 @@ def shingle_sets(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> Da
 
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
     kind = docs.schema["id"].dataType.simpleString()
+    release()  # what the stages before have shuffled
     return written(docs.mapInArrow(run, f"id {kind}, th long, uid long, n int, h array<long>, parity binary, fp long"), "sets")
 
 
@@ -195,7 +196,10 @@ def _pairs(spanning: bool):
 def _met(rows: DataFrame) -> DataFrame:
     """Of rows (key, uid, n, at, root), each (key, uid) once, those of keys with different roots."""
     shared = written(rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key"), "shared")
-    return written(may_be_in(rows, "key", shared).join(shared, "key"), "met")
+    release()
+    met = written(may_be_in(rows, "key", shared).join(shared, "key"), "met")
+    drop(shared)
+    return met
 
 
 def _candidates(met: DataFrame, parities: DataFrame, spanning: bool) -> DataFrame:
@@ -219,12 +223,15 @@ def _similar(n: Column, m: Column, shared: Column) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets are similar. pairs: a stored table."""
+    """Those pairs (u, v) whose sets are similar; stored. pairs: a stored table."""
     nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "nodes")
     # copies of a set become one before they are sent
     held = written(may_be_in(sets.select("uid", "h"), "uid", nodes).groupBy("uid").agg(F.first("h").alias("h")), "held")
+    release()  # the sets that held has sent
     joined = pairs.join(held.select(F.col("uid").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("uid").alias("v"), F.col("h").alias("hv")), "v")
-    return joined.filter(_similar(F.size("hu"), F.size("hv"), F.size(F.array_intersect("hu", "hv")))).select("u", "v")
+    found = written(joined.filter(_similar(F.size("hu"), F.size("hv"), F.size(F.array_intersect("hu", "hv")))).select("u", "v"), "verified")
+    drop(nodes, held)
+    return found
 
 
 def parts(sets: DataFrame, known: DataFrame) -> DataFrame:
@@ -242,6 +249,7 @@ def parts(sets: DataFrame, known: DataFrame) -> DataFrame:
         rows = rows.drop("root")
         if pairs.isEmpty():
             continue
+        release()
         links = written(links.unionByName(verified(pairs, sets)), "links")
         tried, roots = tried.unionByName(pairs), components(links)
     return roots

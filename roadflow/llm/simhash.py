@@ -306,7 +306,7 @@ def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFr
     """
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
     fps = set_join.shingle_sets(docs, shingle=shingle, id_col=id_col)
-    found = written(set_join.verified(trie_pairs(fps), fps), "verified")
+    found = set_join.verified(trie_pairs(fps), fps)
     roots = set_join.parts(fps, found).select(F.col("u").alias("uid"), "v")
     of = written(fps.select("id", "th", "uid").join(roots, "uid", "left").select("id", "th", F.coalesce("v", "uid").alias("root")), "members")
     first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
