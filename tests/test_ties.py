@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
@@ -23,3 +25,15 @@ def test_equally_likely_ways_are_settled_as_in_sql(spark, tied, name):
     want = c.sql(network_queries.ORACLE_SQL[name])
     columns = list(want.columns)
     assert sorted(map(repr, map(tuple, network_queries.QUERIES[name](spark, tied).select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+@pytest.mark.parametrize("seed", [888598, 408744])
+def test_windows_as_slow_as_each_other_are_settled_as_in_sql(spark, tmp_path, seed):
+    """An observation an hour, of six speeds: several windows have the same mean but for the last bit."""
+    rng = random.Random(seed)
+    values = [rng.choice([34.0, 34.01, 34.02, 34.03, 34.04, 34.05]) for _ in range(24)]
+    c = duckdb.connect()
+    c.sql(f"COPY (SELECT i + 1 AS event_id, TIMESTAMP '2026-06-01 00:30:00' + i * INTERVAL 1 HOUR AS ts, i AS user_id, CAST({values}[i + 1] AS DOUBLE) AS value FROM range(24) t(i)) TO '{tmp_path}/events.parquet'")
+    c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = c.sql(network_queries.ORACLE_SQL["peak_windows"]).fetchall()
+    assert sorted(map(tuple, network_queries.QUERIES["peak_windows"](spark, str(tmp_path)).collect())) == sorted(want)
