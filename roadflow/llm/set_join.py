@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import blocks, may_be_in, mix, ship_package, strings_of
+from roadflow.llm.common import bits_of, blocks, may_be, may_be_in, mix, ship_package, strings_of
 from roadflow.llm.components import components
 from roadflow.session import drop, release, written
 
@@ -45,11 +45,29 @@ ROWS_AT_ONCE = 20_000
 
 
 def _flat(block: pa.RecordBatch, column: int, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scrambled hashes of all shingles of a block, the row of each, and the rows' SimHashes."""
-    from roadflow.llm.simhash import shingle_hashes, simhashes
+    """Hashes of all shingles of a block, the row of each, and each row's number of them."""
+    from roadflow.llm.simhash import shingle_hashes
 
     h, each = shingle_hashes(strings_of(block.column(column)), shingle)
-    return mix(h), np.repeat(np.arange(block.num_rows), each), simhashes(h, each)
+    return h, np.repeat(np.arange(block.num_rows), each), each
+
+
+def _members(p: np.ndarray, row: np.ndarray, rows: int, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's members once, by ``before`` and then by hash; the rows' sizes, the members scrambled again, and the sets' hashes."""
+    order = np.lexsort((p, *before, row))
+    p, row = p[order], row[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(p) else np.zeros(0, bool)
+    p, row = p[new], row[new]
+    n = np.bincount(row, minlength=rows)
+    q = mix(p ^ np.uint64(0x2545F4914F6CDD1D))
+    uid = np.zeros(rows, np.uint64)
+    if len(p):
+        uid[n > 0] = mix(np.add.reduceat(q, (np.cumsum(n) - n)[n > 0]) ^ n[n > 0].astype(np.uint64))
+    return p, n, q, uid
+
+
+def _lists(p: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(p.view(np.int64)))
 
 
 def _bit(p: np.ndarray) -> np.ndarray:
@@ -61,11 +79,9 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, most=BLOCK_BYTES):
-            p, row, _ = _flat(block, 0, shingle)
-            order = np.lexsort((p, row))
-            p, row = p[order], row[order]
-            new = np.concatenate([[True], (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(p) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(p[new].view(np.int64))], ["p"])
+            h, row, _ = _flat(block, 0, shingle)
+            p = _members(mix(h), row, block.num_rows)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64))], ["p"])
 
     sample = docs.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "p long")
     often = sample.groupBy("p").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
@@ -76,40 +92,64 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, th, uid, n, h, parity, fp): of each row the set's hash, size, members in order and parities, and the text's SimHash, beside its xxhash64; stored."""
+    """(id, th, uid, n, prefix, parity, fp): of each row the set's hash, size, first members and parities, and the text's SimHash, beside its xxhash64; stored.
+
+    The other members are four fifths of the table; ``verified`` takes them from the few texts it asks for.
+    """
+    from roadflow.llm.simhash import simhashes
+
     spark = docs.sparkSession
     ship_package(spark)
     common = spark.sparkContext.broadcast(_common(docs, shingle))
-    names = ["id", "th", "uid", "n", "h", "parity", "fp"]
+    names = ["id", "th", "uid", "n", "prefix", "parity", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "__text", BLOCK_BYTES):
-            p, row, fp = _flat(block, 2, shingle)
+            h, row, each = _flat(block, 2, shingle)
+            p, fp = mix(h), simhashes(h, each)
             b = _bit(p)
             last = (common.value[b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1
-            order = np.lexsort((p, last, row))
-            p, row = p[order], row[order]
-            new = np.concatenate([[True], (p[1:] != p[:-1]) | (row[1:] != row[:-1])]) if len(p) else np.zeros(0, bool)
-            p, row = p[new], row[new]
-            n = np.bincount(row, minlength=block.num_rows)
+            p, n, q, uid = _members(p, row, block.num_rows, last)
             some, begin = n > 0, (np.cumsum(n) - n)[n > 0]
-            uid, parity = np.zeros(block.num_rows, np.uint64), np.zeros((block.num_rows, PARITY_WORDS), np.uint64)
+            parity = np.zeros((block.num_rows, PARITY_WORDS), np.uint64)
             if len(p):
-                q = mix(p ^ np.uint64(0x2545F4914F6CDD1D))
-                uid[some] = mix(np.add.reduceat(q, begin) ^ n[some].astype(np.uint64))
                 word, one = (q >> np.uint64(6)) % np.uint64(PARITY_WORDS), np.uint64(1) << (q & np.uint64(63))
                 for k in range(PARITY_WORDS):
                     parity[some, k] = np.bitwise_xor.reduceat(np.where(word == k, one, np.uint64(0)), begin)
-            h = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(p.view(np.int64)))
+            nth = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n)
+            ahead = np.where(some, n - -(-LEAST[0] * n // LEAST[1]) + 1, 0)
+            prefix = _lists(p[nth < np.repeat(ahead, n)], ahead)
             raw = parity.tobytes()
             size = 8 * PARITY_WORDS
             bits = pa.array([raw[k : k + size] for k in range(0, len(raw), size)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(uid.view(np.int64)), pa.array(n, pa.int32()), h, bits, pa.array(fp.view(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([*block.columns[:2], pa.array(uid.view(np.int64)), pa.array(n, pa.int32()), prefix, bits, pa.array(fp.view(np.int64))], names)
 
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("th"), F.col("text").alias("__text"))
     kind = docs.schema["id"].dataType.simpleString()
     release()  # what the stages before have shuffled
-    return written(docs.mapInArrow(run, f"id {kind}, th long, uid long, n int, h array<long>, parity binary, fp long"), "sets")
+    return written(docs.mapInArrow(run, f"id {kind}, th long, uid long, n int, prefix array<long>, parity binary, fp long"), "sets")
+
+
+def whole_sets(texts: DataFrame, docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """(uid, h): all members of the sets of those texts, and of some others; seldom one twice. texts: a stored table of ``row``, the hash of id and xxhash64 of the text."""
+    bits, place = bits_of(texts, "row")
+    docs = docs.select(place(F.xxhash64(F.col(id_col), F.xxhash64("text"))), F.col("text").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for block in blocks(batches, 1, BLOCK_BYTES):
+            block = block.filter(may_be(bits, block.column(0)))
+            if not block.num_rows:
+                continue
+            h, row, _ = _flat(block, 1, shingle)
+            p, n, _, uid = _members(mix(h), row, block.num_rows)
+            new = []
+            for x in uid.tolist():  # a table may hold a row many times
+                new.append(x not in seen)
+                seen.add(x)
+            yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), _lists(p, n)], ["uid", "h"]).filter(pa.array(new))
+
+    return docs.mapInArrow(run, "uid long, h array<long>")
 
 
 def _may_match(n: np.ndarray, at: np.ndarray, parity: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
@@ -222,24 +262,35 @@ def _similar(n: Column, m: Column, shared: Column) -> Column:
     return (p + q) * shared >= p * (n + m)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs (u, v) whose sets are similar; stored. pairs: a stored table."""
-    nodes = written(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct(), "nodes")
-    # copies of a set become one before they are sent
-    held = written(may_be_in(sets.select("uid", "h"), "uid", nodes).groupBy("uid").agg(F.first("h").alias("h")), "held")
-    release()  # the sets that held has sent
-    joined = pairs.join(held.select(F.col("uid").alias("u"), F.col("h").alias("hu")), "u").join(held.select(F.col("uid").alias("v"), F.col("h").alias("hv")), "v")
-    found = written(joined.filter(_similar(F.size("hu"), F.size("hv"), F.size(F.array_intersect("hu", "hv")))).select("u", "v"), "verified")
-    drop(nodes, held)
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """Those pairs (u, v) whose sets are similar; stored. pairs: a stored table. sets: of ``shingle_sets`` of docs.
+
+    A set goes once to its pairs, and once for each pair to the other set: nothing else of its size is sent or stored.
+    """
+    ends = pairs.select("u", "v", F.explode(F.array("u", "v")).alias("uid"))
+    nodes = written(ends.select("uid").distinct(), "nodes")
+    # of texts with the same set one is read
+    texts = may_be_in(sets.select("uid", F.xxhash64("id", "th").alias("row")), "uid", nodes).groupBy("uid").agg(F.min("row").alias("row"))
+    texts = written(texts.join(nodes, "uid").select("row"), "texts")
+    met = ends.join(whole_sets(texts, docs, shingle=shingle, id_col=id_col), "uid")
+    of = lambda end: F.first(F.when(F.col("uid") == F.col(end), F.col("h")), ignorenulls=True).alias(f"h{end}")
+    found = written(met.groupBy("u", "v").agg(of("u"), of("v")).filter(_similar(F.size("hu"), F.size("hv"), F.size(F.array_intersect("hu", "hv")))).select("u", "v"), "verified")
+    drop(nodes, texts)
     return found
 
 
-def parts(sets: DataFrame, known: DataFrame) -> DataFrame:
-    """(u, v) as ``components`` gives them, of the sets' hashes linked by similarity. sets: of ``shingle_sets``. known: links that are verified already; a stored table."""
-    p, q = LEAST
-    prefix = F.expr(f"slice(h, 1, n - cast(ceil({p} * n / {q}) as int) + 1)")
+def split(full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A table of ``shingle_sets`` without first members and parities, and these of each set that isn't empty, once; both stored. The table itself is deleted."""
     # copies of a set become one before they are sent
-    one = written(sets.filter("n > 0").select("uid", "n", prefix.alias("prefix"), "parity").groupBy("uid").agg(*(F.first(c).alias(c) for c in ("n", "prefix", "parity"))), "unique")
+    columns = ("n", "prefix", "parity")
+    one = written(full.filter("n > 0").select("uid", *columns).groupBy("uid").agg(*(F.first(c).alias(c) for c in columns)), "unique")
+    sets = written(full.select("id", "th", "uid", "n", "fp"), "sets")
+    drop(full)
+    return sets, one
+
+
+def parts(sets: DataFrame, one: DataFrame, known: DataFrame, docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFrame:
+    """(u, v) as ``components`` gives them, of the sets' hashes linked by similarity. sets, one: of ``split``. known: links that are verified already; a stored table."""
     parities = one.select("uid", "parity")
     rows, links, tried, roots = one.select("uid", "n", F.posexplode("prefix").alias("at", "key")), known, known, components(known)
     for spanning in (True, False):
@@ -250,6 +301,6 @@ def parts(sets: DataFrame, known: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             continue
         release()
-        links = written(links.unionByName(verified(pairs, sets)), "links")
+        links = written(links.unionByName(verified(pairs, sets, docs, shingle=shingle, id_col=id_col)), "links")
         tried, roots = tried.unionByName(pairs), components(links)
     return roots

@@ -305,9 +305,9 @@ def keep_one(docs: DataFrame, *, shingle: int, id_col: str = "doc_id") -> DataFr
     BUDGET bits, so ``set_join`` then looks for all links between different groups that are left: none is lost, and none below 0.8 counts.
     """
     key = F.struct(F.col("id").isNull().alias("none"), "id", "th")
-    fps = set_join.shingle_sets(docs, shingle=shingle, id_col=id_col)
-    found = set_join.verified(trie_pairs(fps), fps)
-    roots = set_join.parts(fps, found).select(F.col("u").alias("uid"), "v")
+    fps, one = set_join.split(set_join.shingle_sets(docs, shingle=shingle, id_col=id_col))
+    found = set_join.verified(trie_pairs(fps), fps, docs, shingle=shingle, id_col=id_col)
+    roots = set_join.parts(fps, one, found, docs, shingle=shingle, id_col=id_col).select(F.col("u").alias("uid"), "v")
     of = written(fps.select("id", "th", "uid").join(roots, "uid", "left").select("id", "th", F.coalesce("v", "uid").alias("root")), "members")
     first = written(of.groupBy("root").agg(F.min(key).alias("k")), "first")
     go = written(of.join(first, "root").filter(~key.eqNullSafe(F.col("k"))).select("id", "th").distinct(), "go")
